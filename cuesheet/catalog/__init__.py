@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("lines", "intervals")
+AREAS = ("lines", "intervals", "frames")
 
 
 def load():

@@ -19,7 +19,7 @@ def rounded(x: str, digits: int = 3) -> str:
 
 
 def ms(x: str) -> str:
-    return f"CAST(round(({x}) * 1e3) AS BIGINT)"
+    return f"CAST(round_even(({x}) * 1e3, 0) AS BIGINT)"
 
 
 def pieces(text: str) -> str:
@@ -109,3 +109,99 @@ probes AS (
   SELECT track_id, first + k * 21600e0 AS t
   FROM (SELECT track_id, min(start) AS first FROM intervals GROUP BY track_id),
        (SELECT UNNEST(range(0, 120)) AS k))"""
+
+# Hourly event energy as frames, and the chain from frames to regions.
+FRAMES = """
+cells AS (
+  SELECT user_id AS track_id, CAST(floor((epoch_us(ts) - 1704067200000000) / 3600000000) AS BIGINT)
+         AS frame_no, sqrt(sum(value * value) / count(*)) AS rms
+  FROM events GROUP BY ALL),
+frames AS (
+  SELECT u.track_id, h.frame_no, coalesce(c.rms, 0e0) AS rms
+  FROM (SELECT DISTINCT user_id AS track_id FROM events) u
+  CROSS JOIN (SELECT UNNEST(range(0, 720)) AS frame_no) h
+  LEFT JOIN cells c ON c.track_id = u.track_id AND c.frame_no = h.frame_no)"""
+
+LEVELS = f"""{FRAMES},
+stats AS (
+  SELECT track_id, quantile_cont(rms, 0.18) AS noise_floor, max(rms) AS peak, count(*) AS n_frames
+  FROM frames GROUP BY track_id),
+padded AS (
+  SELECT track_id, frame_no, rms FROM frames
+  UNION ALL SELECT track_id, frame_no - k, rms FROM frames, range(1, 61) t(k) WHERE frame_no = 0
+  UNION ALL SELECT track_id, frame_no + k, rms FROM frames, range(1, 61) t(k) WHERE frame_no = 719),
+refs AS (
+  SELECT track_id, frame_no, rms,
+    least(quantile_cont(rms, 0.85) OVER (PARTITION BY track_id ORDER BY frame_no
+            ROWS BETWEEN 60 PRECEDING AND CURRENT ROW),
+          quantile_cont(rms, 0.85) OVER (PARTITION BY track_id ORDER BY frame_no
+            ROWS BETWEEN CURRENT ROW AND 60 FOLLOWING)) AS local_ref
+  FROM padded),
+levels AS (
+  SELECT r.*, greatest(25e-5, noise_floor + greatest(0e0, local_ref - noise_floor) * 0.2e0) AS on_level,
+         greatest(18e-5, noise_floor + greatest(0e0, local_ref - noise_floor) * 75e-3) AS off_level
+  FROM refs r JOIN stats s USING (track_id) WHERE frame_no BETWEEN 0 AND 719)"""
+
+ACTIVE = f"""{LEVELS},
+decided AS (
+  SELECT *, CASE WHEN rms >= on_level THEN TRUE WHEN rms < off_level THEN FALSE END AS d FROM levels),
+activity AS (
+  SELECT track_id, frame_no, rms, coalesce(last_value(d IGNORE NULLS) OVER (
+    PARTITION BY track_id ORDER BY frame_no ROWS UNBOUNDED PRECEDING), FALSE) AS active
+  FROM decided)"""
+
+RUNS = f"""{ACTIVE},
+isl AS (
+  SELECT *, frame_no - row_number() OVER (PARTITION BY track_id, active ORDER BY frame_no) AS g
+  FROM activity),
+all_runs AS (
+  SELECT track_id, active, min(frame_no) AS a, max(frame_no) AS b FROM isl GROUP BY track_id, active, g),
+filled AS (
+  SELECT track_id, a, b, active OR (a > 0 AND b < 719 AND b - a + 1 <= 18) AS active FROM all_runs),
+fr AS (SELECT f.track_id, x.frame_no, f.active FROM filled f, LATERAL (SELECT UNNEST(range(a, b + 1)) AS frame_no) x),
+isl2 AS (
+  SELECT *, frame_no - row_number() OVER (PARTITION BY track_id ORDER BY frame_no) AS g
+  FROM fr WHERE active),
+runs AS (
+  SELECT track_id, min(frame_no) AS first_frame, max(frame_no) AS last_frame
+  FROM isl2 GROUP BY track_id, g HAVING count(*) >= 2)"""
+
+REGIONS = f"""{RUNS},
+wide AS (
+  SELECT track_id, greatest(0, first_frame * 800 - 4480) AS s,
+         least(576000, (last_frame + 1) * 800 + 4480) AS e FROM runs),
+marked AS (
+  SELECT *, max(e) OVER (PARTITION BY track_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe
+  FROM wide),
+numbered AS (
+  SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY s, e) AS g
+  FROM marked),
+merged AS (SELECT track_id, min(s) AS s, max(e) AS e FROM numbered GROUP BY track_id, g),
+ranked_runs AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY s) AS rn FROM merged),
+joined AS (
+  SELECT track_id, rn, s, e, s AS rs FROM ranked_runs WHERE rn = 1
+  UNION ALL
+  SELECT r.track_id, r.rn, r.s, r.e,
+         CASE WHEN r.e - j.rs <= 456000 AND r.s - j.e <= 96000 THEN j.rs ELSE r.s END
+  FROM joined j JOIN ranked_runs r ON r.track_id = j.track_id AND r.rn = j.rn + 1),
+regions AS (SELECT track_id, rs AS s, max(e) AS e FROM joined GROUP BY track_id, rs),
+cuts AS (
+  SELECT track_id, s, e, 0 AS depth FROM regions
+  UNION ALL
+  SELECT track_id, cut, e, depth + 1 FROM (
+    SELECT c.track_id, c.e, c.depth, least(c.e - 3200, greatest(c.s + 256000,
+      (SELECT arg_min(f.frame_no, struct_pack(r := f.rms, n := f.frame_no)) FROM frames f
+       WHERE f.track_id = c.track_id AND f.frame_no >= (c.s + 256000) // 800
+         AND f.frame_no < (c.s + 456000) // 800) * 800)) AS cut
+    FROM cuts c WHERE c.e - c.s > 456000)),
+pieces_of_region AS (
+  SELECT track_id, s, coalesce(lead(s) OVER (PARTITION BY track_id, e ORDER BY s), e) AS e FROM cuts)"""
+
+SAMPLES = """
+flat AS (
+  SELECT vec_id // 16 AS track_id, (vec_id % 16) * 64 + generate_subscripts(embedding, 1) - 1 AS idx,
+         UNNEST(embedding) AS v FROM embeddings),
+samples AS (
+  SELECT track_id, idx, CAST(v AS DOUBLE) * CASE WHEN track_id % 2 = 0 AND idx BETWEEN 300 AND 700
+         THEN 0.01e0 ELSE 1e0 END AS v FROM flat),
+sizes AS (SELECT track_id, max(idx) + 1 AS n_samples FROM samples GROUP BY track_id)"""

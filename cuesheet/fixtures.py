@@ -84,3 +84,68 @@ def event_lines(intervals_table: DataFrame) -> tuple[DataFrame, DataFrame]:
         indexed(words, "interval_id", block_seconds=86400.0 * 30),
         indexed(lines, "line_no", block_seconds=86400.0 * 365),
     )
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly event energy of each user as frames 0..719; hours without events are silent."""
+    start = F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000
+    events = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("track_id"),
+        F.floor(start / 3600000000).cast("long").alias("frame_no"), "value",
+    )
+    # One silent row per hour joins the sums, so no grid join is needed.
+    tracks = events.select("track_id").distinct()
+    grid = tracks.select("track_id", F.explode(F.sequence(F.lit(0), F.lit(719))).alias("frame_no"))
+    padded = events.unionByName(
+        grid.select("track_id", F.col("frame_no").cast("long").alias("frame_no"),
+                    F.lit(None).cast("double").alias("value"))
+    )
+    return padded.groupBy("track_id", "frame_no").agg(
+        F.coalesce(F.sqrt(F.sum(F.col("value") * F.col("value")) / F.count("value")), F.lit(0.0))
+        .alias("rms")
+    )
+
+
+HOP = 800  # samples per frame at 16 kHz
+
+
+def frame_sizes(frames_table: DataFrame) -> DataFrame:
+    return frames_table.groupBy("track_id").agg(
+        (F.count(F.lit(1)) * HOP).alias("n_samples")
+    )
+
+
+VECTORS_PER_TRACK = 16
+VECTOR_SIZE = 64
+SAMPLE_RATE = 1000  # of the sample fixture
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as sample series: 16 vectors of 64 values per track, 1 kHz.
+
+    On even tracks the middle of the series is damped, so that it holds a silent gap.
+    """
+    flat = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / VECTORS_PER_TRACK).cast("long").alias("track_id"),
+        F.col("vec_id"), F.posexplode("embedding").alias("pos", "v"),
+    )
+    idx = (F.col("vec_id") % VECTORS_PER_TRACK) * VECTOR_SIZE + F.col("pos")
+    damped = (F.col("track_id") % 2 == 0) & idx.between(300, 700)
+    return flat.select(
+        "track_id", idx.cast("long").alias("idx"),
+        (F.col("v").cast("double") * F.when(damped, 0.01).otherwise(1.0)).alias("v"),
+    )
+
+
+def sample_sizes(samples_table: DataFrame) -> DataFrame:
+    return samples_table.groupBy("track_id").agg((F.max("idx") + 1).alias("n_samples"))
+
+
+def gaps(sizes: DataFrame) -> DataFrame:
+    """Three gaps per track, at places and lengths that depend on the track."""
+    return sizes.select("track_id", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("gap_no")).select(
+        "track_id", F.col("gap_no").cast("long").alias("gap_no"),
+        (F.lit(0.1) + F.col("gap_no") * 0.1 + (F.col("track_id") % 5) * 0.05).alias("gap_start"),
+        (F.lit(0.3) + F.col("gap_no") * 0.2 + (F.col("track_id") % 4) * 0.1).alias("gap_end"),
+        F.lit(0.05).alias("word_start"), F.lit(0.98).alias("word_end"),
+    )

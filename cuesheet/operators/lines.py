@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuesheet.constants import LINE_LEAD_IN, LINE_RULES, LINE_TAIL
-from cuesheet.plans.scan import BLOCK, Running, cut_groups, numbered, running, with_block
+from cuesheet.plans.scan import BLOCK, Running, numbered, running, with_block
+from cuesheet.plans.segments import greedy_segments
 
 SENTENCE_END = r"[.!?…]\n?$"
-CHUNK = 4096
 _LONGEST = max(rule[0] for rule in LINE_RULES.values())
 _ORDER = ["start", "end", "word_no"]
 
@@ -38,174 +38,43 @@ def line_flags(words: DataFrame, block_seconds: float = 120.0) -> DataFrame:
     )
 
 
-def _chunks(words: DataFrame, block_seconds: float) -> DataFrame:
-    """Words in arrays of bounded size that can be grouped on their own.
+def group_lines(
+    words: DataFrame, block_seconds: float = 120.0, chunk: int | None = None
+) -> DataFrame:
+    """One row per line with its words in order; not yet numbered.
 
-    A gap above the limit, or a phrase change with a gap above 0.06 s, breaks a line
-    whatever the state, so these cut exact islands. An island longer than ``CHUNK`` words is
-    cut again; each piece also gets the words just before it (to restore the state) and just
-    after it (to finish its last line), at most a line's length each.
+    A line ends before a word that follows a long gap, exceeds the most words or the longest
+    duration, follows a finished sentence of three words or more, or opens a new phrase after
+    a pause or when the line is already long enough.
     """
-    stream = with_block(
-        words.filter(F.col("kind").isin(*LINE_RULES)), F.col("start"), block_seconds
-    )
 
-    def certain_break(before: Column, row: Column) -> Column:
+    def certain(before: Column, row: Column) -> Column:
         gap = row["start"] - before["end"]
         return (gap > _rule(row["kind"], 2)) | (
             (row["phrase"] != before["phrase"]) & (gap > 0.06)
         )
 
-    islands = cut_groups(
-        stream, ["track_id", "kind"], _ORDER,
-        ["start", "end", "phrase", "kind"], certain_break, "island",
-    )
-    own = F.floor(F.col("island_pos") / CHUNK)
-    offset = F.col("island_pos") % CHUNK
-    placed = islands.withColumn(
-        "chunk",
-        F.explode(
-            F.when(offset >= CHUNK - _LONGEST, F.array(own, own + 1))
-            .when((offset < _LONGEST - 1) & (own > 0), F.array(own - 1, own))
-            .otherwise(F.array(own))
-        ),
-    )
-    word = F.struct(
-        F.col("island_pos").alias("pos"),
-        *[F.col(c) for c in words.columns if c not in ("track_id", "kind")],
-    )
-    return placed.groupBy("track_id", "kind", "island", "chunk").agg(
-        F.array_sort(F.collect_list(word)).alias("rows")
-    )
-
-
-def _fold_breaks(rows: Column, kind: Column, first_own: Column, entry: Column) -> Column:
-    """Fold the rows from ``first_own`` on; struct(count, breaks = positions of line starts).
-
-    ``entry`` is the number of words already in the open line before ``first_own``; these
-    are the rows just before it, so the line's start is one of theirs.
-    """
-    before = F.filter(rows, lambda r: r["pos"] < first_own)
-    last = F.element_at(before, -1)
-    opened = entry > 0
-    zero = F.struct(
-        entry.cast("int").alias("count"),
-        F.when(opened, F.element_at(before, F.when(opened, -entry).otherwise(-1).cast("int"))["start"])
-        .otherwise(F.lit(0.0)).alias("first"),
-        F.when(opened, last["end"]).otherwise(F.lit(0.0)).alias("end"),
-        F.when(opened, last["phrase"]).otherwise(F.lit(-1)).cast("int").alias("phrase"),
-        F.when(opened, last["text"]).otherwise(F.lit("")).alias("text"),
-        F.array().cast("array<bigint>").alias("breaks"),
-    )
-
-    def step(acc: Column, r: Column) -> Column:
-        gap = r["start"] - acc["end"]
-        length = r["end"] - acc["first"]
-        changed = r["phrase"] != acc["phrase"]
-        breaks = (
-            (acc["count"] == 0)
-            | (gap > _rule(kind, 2))
-            | (acc["count"] >= _rule(kind, 0))
-            | (length > _rule(kind, 1))
-            | ((acc["count"] >= 3) & acc["text"].rlike(SENTENCE_END))
-            | (changed & ((gap > 0.06) | (acc["count"] >= 4) | (length >= 2.5)))
-        )
-        return F.struct(
-            F.when(breaks, 1).otherwise(acc["count"] + 1).alias("count"),
-            F.when(breaks, r["start"]).otherwise(acc["first"]).alias("first"),
-            r["end"].alias("end"),
-            r["phrase"].cast("int").alias("phrase"),
-            r["text"].alias("text"),
-            F.when(breaks, F.array_append(acc["breaks"], r["pos"]))
-            .otherwise(acc["breaks"]).alias("breaks"),
+    def breaks(count: Column, first: Column, last: Column, row: Column) -> Column:
+        gap = row["start"] - last["end"]
+        length = row["end"] - first["start"]
+        return (
+            (gap > _rule(row["kind"], 2))
+            | (count >= _rule(row["kind"], 0))
+            | (length > _rule(row["kind"], 1))
+            | ((count >= 3) & last["text"].rlike(SENTENCE_END))
+            | (
+                (row["phrase"] != last["phrase"])
+                & ((gap > 0.06) | (count >= 4) | (length >= 2.5))
+            )
         )
 
-    own = F.filter(rows, lambda r: r["pos"] >= first_own)
-    return F.aggregate(own, zero, step, lambda acc: F.struct(acc["count"], acc["breaks"]))
-
-
-def _entry_counts(chunks: DataFrame, chunk: int) -> DataFrame:
-    """Words in the open line at the start of every chunk but the first of long islands.
-
-    A chunk maps the count it is entered with (1..12) to the count it is left with. These
-    small maps are chained per island; the rows themselves stay where they are.
-    """
-    first_own = F.col("chunk") * chunk
-    own_rows = F.filter(F.col("rows"), lambda r: r["pos"] < first_own + chunk)
-    leave = lambda c: _fold_breaks(F.col("own"), F.col("kind"), F.col("chunk") * chunk, c)["count"]
-    full = (
-        chunks.withColumn("own", own_rows)
-        .filter(F.element_at("own", -1)["pos"] == first_own + chunk - 1)
-        .select(
-            "track_id", "kind", "island", "chunk",
-            F.when(F.col("chunk") == 0, F.array(leave(F.lit(0))))
-            .otherwise(F.transform(F.sequence(F.lit(1), F.lit(_LONGEST)), leave))
-            .alias("leave"),
-        )
-    )
-    chained = full.groupBy("track_id", "kind", "island").agg(
-        F.aggregate(
-            F.array_sort(F.collect_list(F.struct("chunk", "leave"))),
-            F.struct(
-                F.lit(1).alias("count"),
-                F.array().cast("array<struct<chunk:bigint,entry:int>>").alias("entries"),
-            ),
-            lambda acc, c: F.struct(
-                F.element_at(c["leave"], acc["count"]).alias("count"),
-                F.array_append(
-                    acc["entries"],
-                    F.struct(
-                        (c["chunk"] + 1).alias("chunk"),
-                        F.element_at(c["leave"], acc["count"]).alias("entry"),
-                    ),
-                ).alias("entries"),
-            ),
-            lambda acc: acc["entries"],
-        ).alias("entries")
-    )
-    return chained.select("track_id", "kind", "island", F.inline("entries"))
-
-
-def group_lines(
-    words: DataFrame, block_seconds: float = 120.0, chunk: int | None = None
-) -> DataFrame:
-    """One row per line with its words in order; not yet numbered.
-
-    The greedy rules look back at most one line, so islands fold independently and long
-    islands fold chunk by chunk once the state at each chunk's start is known.
-    """
-    global CHUNK
-    if chunk is not None:
-        saved, CHUNK = CHUNK, chunk
-        try:
-            return group_lines(words, block_seconds)
-        finally:
-            CHUNK = saved
-    chunks = _chunks(words, block_seconds)
-    entries = _entry_counts(chunks, CHUNK)
-    first_own = F.col("chunk") * CHUNK
-    folded = chunks.join(entries, ["track_id", "kind", "island", "chunk"], "left").select(
-        "track_id", "kind", "rows", first_own.alias("first_own"),
-        _fold_breaks(
-            F.col("rows"), F.col("kind"), first_own, F.coalesce("entry", F.lit(0))
-        )["breaks"].alias("breaks"),
-        F.element_at("rows", 1)["pos"].alias("base"),
+    stream = with_block(
+        words.filter(F.col("kind").isin(*LINE_RULES)), F.col("start"), block_seconds
     )
-    at = F.explode(
-        F.transform(
-            F.filter("breaks", lambda b: b < F.col("first_own") + CHUNK),
-            lambda b, i: F.struct(
-                b.alias("from"), F.get(F.col("breaks"), i + 1).alias("to")
-            ),
-        )
+    segments = greedy_segments(
+        stream, ["track_id", "kind"], _ORDER, certain, breaks, _LONGEST, chunk
     )
-    spans = folded.select("track_id", "kind", "rows", "base", at.alias("span"))
-    begin = (F.col("span.from") - F.col("base") + 1).cast("int")
-    length = F.coalesce(
-        F.col("span.to") - F.col("span.from"), F.size("rows") - begin + 1
-    ).cast("int")
-    lines = spans.select("track_id", "kind", F.slice("rows", begin, length).alias("words"))
-    return assemble_lines(lines)
+    return assemble_lines(segments.withColumnRenamed("rows", "words"))
 
 
 def assemble_lines(lines: DataFrame) -> DataFrame:
@@ -216,7 +85,7 @@ def assemble_lines(lines: DataFrame) -> DataFrame:
         F.element_at("words", 1)["start"].alias("start"),
         F.element_at("words", -1)["end"].alias("end"),
         F.element_at("words", 1)["word_no"].alias("first_word"),
-        F.transform("words", lambda w: w.dropFields("pos")).alias("words"),
+        F.transform("words", lambda w: w.dropFields("pos", "track_id", "kind")).alias("words"),
     )
 
 

@@ -116,7 +116,8 @@ def cut_groups(
     """Split each key into the groups that ``cut(before, row)`` separates (gaps and islands).
 
     ``before`` is the previous row (struct of ``carry_columns``) or, with ``running_max``,
-    a struct whose field of that name is the largest value so far. Adds ``name``, the order
+    a struct whose field of that name is the largest value so far (``cut`` may then use order
+    columns of ``row`` only). Adds ``name``, the order
     struct of the group's first row, and ``{name}_pos``, the 0-based position inside the
     group. Each block works out its inner cuts; whether its first row starts a group follows
     from the block summaries alone, so one pass over the rows is enough.
@@ -164,6 +165,18 @@ def cut_groups(
         entering = F.struct(F.max(f"_tail.{running_max}").over(upto).alias(running_max))
     else:
         entering = F.lag("_tail", 1).over(blocks)
+
+    def still_cut(start: str) -> Column:
+        """An inner cut under a running maximum must also clear the maximum carried in.
+        Order values ascend, so the latest inner cut that clears it is the latest of all."""
+        found = F.col(start).isNotNull()
+        if not running_max:
+            return found
+        return found & (
+            F.col(f"_entering.{running_max}").isNull()
+            | cut(F.col("_entering"), F.col(f"{start}.at"))
+        )
+
     opened = summaries.select(
         "*",
         entering.alias("_entering"),
@@ -179,7 +192,7 @@ def cut_groups(
         "_closing",
         F.coalesce(
             F.when(
-                F.col("_last").isNotNull(),
+                still_cut("_last"),
                 F.struct(
                     F.col("_last.at").alias("at"),
                     (F.col("_offset") + F.col("_last.n")).alias("n"),
@@ -192,12 +205,13 @@ def cut_groups(
         *keys,
         BLOCK,
         "_offset",
+        "_entering",
         F.coalesce("_opening", F.last("_closing", ignorenulls=True).over(upto)).alias("_carried"),
     )
-    inside = F.col("_local").isNotNull()
+    inside = still_cut("_local")
     return local.join(carried, [*keys, BLOCK]).select(
         *df.columns,
-        F.coalesce("_local.at", "_carried.at").alias(name),
+        F.when(inside, F.col("_local.at")).otherwise(F.col("_carried.at")).alias(name),
         F.when(inside, F.col("_n") - F.col("_local.n"))
         .otherwise(F.col("_offset") + F.col("_n") - F.col("_carried.n"))
         .alias(f"{name}_pos"),
