@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("lines", "intervals", "frames")
+AREAS = ("lines", "intervals", "frames", "evaluation")
 
 
 def load():

@@ -205,3 +205,65 @@ samples AS (
   SELECT track_id, idx, CAST(v AS DOUBLE) * CASE WHEN track_id % 2 = 0 AND idx BETWEEN 300 AND 700
          THEN 0.01e0 ELSE 1e0 END AS v FROM flat),
 sizes AS (SELECT track_id, max(idx) + 1 AS n_samples FROM samples GROUP BY track_id)"""
+
+# Benchmark texts as references and two damaged copies of each as candidates.
+EVAL_TOKENS = f"""
+rp AS (SELECT item_id AS track_id, {pieces('text')} AS p FROM benchmark),
+rw AS (
+  SELECT track_id, len(p) AS n, generate_subscripts(p, 1) - 1 AS pos, UNNEST(p) AS text FROM rp),
+rt AS (
+  SELECT *, sum({weight('text')}) OVER (PARTITION BY track_id ORDER BY pos) AS cum,
+    coalesce(sum({weight('text')}) OVER (PARTITION BY track_id ORDER BY pos
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev,
+    sum({weight('text')}) OVER (PARTITION BY track_id) AS total,
+    lead(text, 1, 'end') OVER (PARTITION BY track_id ORDER BY pos) AS next
+  FROM rw),
+rs AS (SELECT *, n * 0.35e0 * (prev / total) AS f, n * 0.35e0 * (cum / total) AS t FROM rt),
+reference AS (
+  SELECT track_id, pos, text, next, {rounded('f')} AS start, {rounded('t')} AS "end" FROM rs),
+rules(label, d, r, i) AS (VALUES ('first', 7, 11, 13), ('second', 5, 9, 17)),
+damaged AS (
+  SELECT track_id, label, pos * 2 AS pos,
+         CASE WHEN (pos + 1) % r = 0 THEN next ELSE text END AS text,
+         start + (pos + 40) / 1000e0 AS start, "end" + (pos + 40) / 1000e0 * 1.5e0 AS "end"
+  FROM reference, rules WHERE (pos + 1) % d <> 0
+  UNION ALL
+  SELECT track_id, label, pos * 2 + 1, 'filler', start + (pos + 40) / 1000e0,
+         "end" + (pos + 40) / 1000e0 * 1.5e0
+  FROM reference, rules WHERE (pos + 1) % i = 0),
+ref AS (
+  SELECT track_id, pos, text, start, "end",
+    regexp_replace(replace(replace(lower(text), 'ß', 'ss'), '_', ''), '[^\\p{{L}}\\p{{N}}'']+', '', 'g') AS norm
+  FROM reference),
+cand AS (
+  SELECT track_id, label, pos, text, start, "end",
+    regexp_replace(replace(replace(lower(text), 'ß', 'ss'), '_', ''), '[^\\p{{L}}\\p{{N}}'']+', '', 'g') AS norm
+  FROM damaged)"""
+
+# Edit table by recursion over its anti-diagonals; each cell carries its best path.
+EDIT_PATHS = f"""{EVAL_TOKENS},
+refn AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY pos) AS no FROM ref WHERE norm <> ''),
+candn AS (SELECT *, row_number() OVER (PARTITION BY track_id, label ORDER BY pos) AS no FROM cand WHERE norm <> ''),
+pairs AS (
+  SELECT c.track_id, c.label, max(c.no) AS m, (SELECT max(no) FROM refn r WHERE r.track_id = c.track_id) AS n
+  FROM candn c GROUP BY c.track_id, c.label),
+moves(mv, di, dj, needs_cur) AS (VALUES ('D', 1, 0, TRUE), ('I', 0, 1, TRUE), ('K', 0, 0, TRUE), ('X', 1, 1, FALSE)),
+dp AS (
+  SELECT track_id, label, n, m, 0 AS i, 0 AS j, 0 AS cost, '' AS path, CAST([] AS DOUBLE[]) AS onsets,
+         CAST([] AS DOUBLE[]) AS offsets, TRUE AS cur FROM pairs
+  UNION ALL
+  SELECT track_id, label, n, m, i, j, cost, path, onsets, offsets, cur FROM (
+    SELECT *, row_number() OVER (PARTITION BY track_id, label, i, j, cur ORDER BY cost, prio) AS rn FROM (
+      SELECT d.track_id, d.label, d.n, d.m, d.i + di AS i, d.j + dj AS j, mv <> 'K' AS cur,
+        cost + CASE WHEN mv = 'K' OR (mv = 'X' AND r.norm = c.norm) THEN 0 ELSE 1 END AS cost,
+        path || CASE WHEN mv = 'X' AND r.norm = c.norm THEN 'M' WHEN mv = 'X' THEN 'S'
+                     WHEN mv = 'K' THEN '' ELSE mv END AS path,
+        CASE WHEN mv = 'X' AND r.norm = c.norm THEN list_append(onsets, c.start - r.start) ELSE onsets END AS onsets,
+        CASE WHEN mv = 'X' AND r.norm = c.norm THEN list_append(offsets, c."end" - r."end") ELSE offsets END AS offsets,
+        CASE mv WHEN 'X' THEN 0 WHEN 'D' THEN 1 ELSE 2 END AS prio
+      FROM dp d JOIN moves ON needs_cur = d.cur
+      LEFT JOIN refn r ON di = 1 AND r.track_id = d.track_id AND r.no = d.i + 1
+      LEFT JOIN candn c ON dj = 1 AND c.track_id = d.track_id AND c.label = d.label AND c.no = d.j + 1
+      WHERE d.i + di <= d.n AND d.j + dj <= d.m)
+  ) WHERE rn = 1),
+best AS (SELECT * FROM dp WHERE i = n AND j = m AND cur)"""

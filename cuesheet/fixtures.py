@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cuesheet.functions.text import pieces
 from cuesheet.operators.phrases import proportional_timings
@@ -149,3 +149,54 @@ def gaps(sizes: DataFrame) -> DataFrame:
         (F.lit(0.3) + F.col("gap_no") * 0.2 + (F.col("track_id") % 4) * 0.1).alias("gap_end"),
         F.lit(0.05).alias("word_start"), F.lit(0.98).alias("word_end"),
     )
+
+
+CANDIDATE_RULES = (("first", 7, 11, 13), ("second", 5, 9, 17))
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text as a timed reference transcript."""
+    tokens = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("track_id"), pieces(F.col("text")).alias("p")
+    ).select(
+        "track_id", F.size("p").alias("n"), F.posexplode("p").alias("pos", "text")
+    )
+    timed = proportional_timings(
+        tokens, ["track_id"], "pos", "text", F.lit(0.0), F.col("n") * PIECE_SECONDS
+    )
+    return timed.select(
+        "track_id", F.col("pos").cast("long").alias("pos"), "text", "start", "end",
+        F.lit("lead").alias("kind"),
+    )
+
+
+def candidates(references_table: DataFrame) -> DataFrame:
+    """Two damaged copies per reference: words dropped, replaced, inserted, and shifted."""
+    window = Window.partitionBy("track_id").orderBy("pos")
+    rules = F.array(
+        *[
+            F.struct(F.lit(label).alias("label"), F.lit(d).alias("d"), F.lit(r).alias("r"), F.lit(i).alias("i"))
+            for label, d, r, i in CANDIDATE_RULES
+        ]
+    )
+    n = F.col("pos") + 1
+    shift = (F.col("pos") + 40) / 1000.0
+    base = references_table.withColumn("next", F.lead("text", 1, "end").over(window)).withColumn(
+        "rule", F.explode(rules)
+    )
+    kept = F.when(
+        n % F.col("rule.d") != 0,
+        F.struct(
+            (F.col("pos") * 2).alias("pos"),
+            F.when(n % F.col("rule.r") == 0, F.col("next")).otherwise(F.col("text")).alias("text"),
+        ),
+    )
+    filler = F.when(
+        n % F.col("rule.i") == 0,
+        F.struct((F.col("pos") * 2 + 1).alias("pos"), F.lit("filler").alias("text")),
+    )
+    return base.select(
+        "track_id", F.col("rule.label").alias("label"),
+        F.explode(F.array_compact(F.array(kept, filler))).alias("w"),
+        (F.col("start") + shift).alias("start"), (F.col("end") + shift * 1.5).alias("end"), "kind",
+    ).select("track_id", "label", "w.pos", "w.text", "start", "end", "kind")
