@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("lines", "intervals", "frames", "evaluation")
+AREAS = ("lines", "intervals", "frames", "evaluation", "cleaning")
 
 
 def load():

@@ -267,3 +267,18 @@ dp AS (
       WHERE d.i + di <= d.n AND d.j + dj <= d.m)
   ) WHERE rn = 1),
 best AS (SELECT * FROM dp WHERE i = n AND j = m AND cur)"""
+
+# Events as short words (see cuesheet.fixtures.beats).
+BEATS = f"""
+b0 AS (
+  SELECT user_id AS track_id, event_id AS word_no, event_type AS text,
+         (epoch_us(ts) - 1704067200000000) / 3.6e9 * 0.1e0 AS s0, value,
+         list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS type_no
+  FROM events),
+b1 AS (SELECT *, {rounded('s0')} AS start FROM b0),
+b2 AS (SELECT *, start + 0.04e0 + value * 0.01e0 AS e0 FROM b1),
+beats AS (
+  SELECT track_id, word_no, text, start, {rounded('e0')} AS "end",
+    CASE WHEN word_no % 4 = 0 THEN 'adlib' ELSE 'lead' END AS kind,
+    CAST(CASE WHEN word_no % 7 = 0 THEN -1 ELSE floor(start / 2.4e0) * 5 + type_no END AS INT) AS phrase
+  FROM b2)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from cuesheet.functions.numeric import round_exact
 from cuesheet.functions.text import pieces
 from cuesheet.operators.phrases import proportional_timings
 
@@ -200,3 +201,25 @@ def candidates(references_table: DataFrame) -> DataFrame:
         F.explode(F.array_compact(F.array(kept, filler))).alias("w"),
         (F.col("start") + shift).alias("start"), (F.col("end") + shift * 1.5).alias("end"), "kind",
     ).select("track_id", "label", "w.pos", "w.text", "start", "end", "kind")
+
+
+def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as short words: an hour becomes 0.1 s, the event type is the text."""
+    hours = (F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3.6e9
+    types = F.array_position(
+        F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")]),
+        F.col("event_type"),
+    )
+    raw = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("track_id"), F.col("event_id").alias("word_no"),
+        F.col("event_type").alias("text"), (hours * 0.1).alias("_s"), "value", types.alias("_type"),
+    )
+    timed = raw.withColumn("start", round_exact(F.col("_s"))).withColumn(
+        "_e", F.col("start") + 0.04 + F.col("value") * 0.01
+    ).withColumn("end", round_exact(F.col("_e")))
+    phrase = (F.floor(F.col("start") / 2.4) * 5 + F.col("_type")).cast("int")
+    return timed.select(
+        "track_id", "word_no", "text", "start", "end",
+        F.when(F.col("word_no") % 4 == 0, "adlib").otherwise("lead").alias("kind"),
+        F.when(F.col("word_no") % 7 == 0, -1).otherwise(phrase).alias("phrase"),
+    )

@@ -40,13 +40,13 @@ def _local(item: Running, window) -> Column:
     return F.last(item.value, ignorenulls=True).over(frame)
 
 
-def _summary(item: Running, order: list[Column]) -> Column:
+def _summary(item: Running, order: list[Column], backwards: bool = False) -> Column:
     if item.how in ("sum", "count"):
         return F.sum(item.value)
     if item.how == "max":
         return F.max(item.value)
     key = F.when(item.value.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    return F.max_by(item.value, key)
+    return F.min_by(item.value, key) if backwards else F.max_by(item.value, key)
 
 
 def _carry(item: Running, column: Column, before) -> Column:
@@ -66,18 +66,23 @@ def _merge(item: Running, local: Column, carried: Column) -> Column:
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[str], outputs: list[Running]
+    df: DataFrame, keys: list[str], order: list[str], outputs: list[Running],
+    backwards: bool = False,
 ) -> DataFrame:
-    """Running aggregates along ``order`` per key; ``df`` carries a block column."""
+    """Running aggregates along ``order`` per key; ``df`` carries a block column.
+
+    ``backwards`` scans from the last row to the first.
+    """
     order_columns = [F.col(o) for o in order]
-    local_window = W.partitionBy(*keys, BLOCK).orderBy(*order)
+    facing = F.desc if backwards else F.asc
+    local_window = W.partitionBy(*keys, BLOCK).orderBy(*[facing(o) for o in order])
     scanned = df.select(
         "*", *[_local(o, local_window).alias(f"_l_{o.name}") for o in outputs]
     )
-    before = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(facing(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
     carried = (
         df.groupBy(*keys, BLOCK)
-        .agg(*[_summary(o, order_columns).alias(f"_s_{o.name}") for o in outputs])
+        .agg(*[_summary(o, order_columns, backwards).alias(f"_s_{o.name}") for o in outputs])
         .select(
             *keys,
             BLOCK,
@@ -98,10 +103,63 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     return running(df, keys, order, [Running(name, "count", F.lit(1).cast("long"), False)])
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str):
-    """The row before this one as a struct of ``columns``; null on a key's first row."""
+def following(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str):
+    """The next row as a struct of ``columns``; null on a key's last row."""
     row = F.struct(*[F.col(c) for c in columns])
-    return running(df, keys, order, [Running(name, "last", row, False)])
+    return running(df, keys, order, [Running(name, "last", row, False)], backwards=True)
+
+
+def running_clamp(
+    df: DataFrame, keys: list[str], order: list[str], first: str, low: str, high: str, shift: int,
+    name: str,
+) -> DataFrame:
+    """Solve ``x[i+1] = min(high[i], max(low[i], x[i] + shift))`` along ``order`` per key.
+
+    ``x`` starts at the key's first value of ``first``; all four are whole numbers. Such steps
+    compose to steps of the same form, so a block is summed up by (rows, low, high) and the
+    blocks are chained; each block then runs its own steps from a known value.
+    """
+    row = F.struct(*[F.col(o) for o in order], *[F.col(c) for c in df.columns
+                   if c not in (*order, *keys, BLOCK)])
+    blocks = df.groupBy(*keys, BLOCK).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    limit = lambda r, value: F.least(r[high], F.greatest(r[low], value))
+    whole = F.aggregate(
+        "_rows",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(-(10**17)).alias("lo"), F.lit(10**17).alias("hi")),
+        lambda acc, r: F.struct(
+            (acc["n"] + shift).alias("n"), limit(r, acc["lo"] + shift).alias("lo"),
+            limit(r, acc["hi"] + shift).alias("hi"),
+        ),
+    )
+    summed = F.struct(F.col(BLOCK).alias("block"), F.element_at("_rows", 1)[first].alias("first"), whole.alias("w"))
+    entries = F.aggregate(
+        F.array_sort(F.collect_list(summed)),
+        F.struct(
+            F.lit(None).cast("long").alias("x"),
+            F.array().cast(f"array<struct<{BLOCK}:bigint,_x:bigint>>").alias("entries"),
+        ),
+        lambda acc, b: F.struct(
+            F.least(b["w"]["hi"], F.greatest(b["w"]["lo"], F.coalesce(acc["x"], b["first"]) + b["w"]["n"])).alias("x"),
+            F.array_append(
+                acc["entries"],
+                F.struct(b["block"].alias(BLOCK), F.coalesce(acc["x"], b["first"]).alias("_x")),
+            ).alias("entries"),
+        ),
+        lambda acc: acc["entries"],
+    )
+    known = blocks.groupBy(*keys).agg(entries.alias("_e")).select(*keys, F.inline("_e"))
+    values = F.aggregate(
+        "_rows",
+        F.struct(F.col("_x").alias("x"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, r: F.struct(
+            limit(r, acc["x"] + shift).alias("x"), F.array_append(acc["out"], acc["x"]).alias("out")
+        ),
+        lambda acc: acc["out"],
+    )
+    solved = blocks.join(known, [*keys, BLOCK]).select(
+        *keys, F.inline(F.arrays_zip(F.col("_rows").alias("row"), values.alias("x")))
+    )
+    return solved.select(*keys, "row.*", F.col("x").alias(name))
 
 
 def cut_groups(
