@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("lines", "intervals", "frames", "evaluation", "cleaning")
+AREAS = ("lines", "intervals", "frames", "evaluation", "cleaning", "alignment")
 
 
 def load():

@@ -223,3 +223,27 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("word_no") % 4 == 0, "adlib").otherwise("lead").alias("kind"),
         F.when(F.col("word_no") % 7 == 0, -1).otherwise(phrase).alias("phrase"),
     )
+
+
+def emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as token scores: 8 frames of 8 tokens per segment."""
+    flat = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("segment_id"), F.posexplode("embedding").alias("p", "v")
+    )
+    return flat.select(
+        "segment_id", F.floor(F.col("p") / 8).cast("long").alias("frame"),
+        (F.col("p") % 8).cast("long").alias("token_id"),
+        (-F.abs(F.col("v").cast("double")) * 10).alias("logp"),
+    )
+
+
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six tokens per segment, two per word; the third is a delimiter without owner."""
+    segments = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("segment_id")).distinct()
+    t = F.col("token_no")
+    return segments.select("segment_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("token_no")).select(
+        "segment_id", t.cast("long").alias("token_no"),
+        (1 + (t * 3 + F.col("segment_id")) % 7).cast("long").alias("token_id"),
+        t.cast("long").alias("f0"), (t + 3).cast("long").alias("f1"),
+        F.when(t != 2, F.floor(t / 2)).cast("long").alias("owner_word"),
+    )

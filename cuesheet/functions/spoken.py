@@ -65,52 +65,70 @@ def _nine_digits_ordinal(group: Column) -> Column:
     )
 
 
-def _groups(digits: Column) -> Column:
+def _let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` (lambdas share no subexpressions)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _bare(digits: Column) -> Column:
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
+def _groups(bare: Column) -> Column:
     """Groups of nine digits, highest first."""
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
-    count = F.ceil(F.length(bare) / 9).cast("int")
-    padded = F.lpad(bare, count * 9, F.lit("0"))
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("bigint"),
+    return _let(
+        F.ceil(F.length(bare) / 9).cast("int"),
+        lambda count: _let(
+            F.lpad(bare, count * 9, F.lit("0")),
+            lambda padded: F.transform(
+                F.sequence(F.lit(0), count - 1),
+                lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("bigint"),
+            ),
+        ),
     )
 
 
-def integer_words(digits: Column) -> Column:
-    """Spoken form of a digit string of any length; every group of nine counts billions."""
-    groups = _groups(digits)
+def _chain(groups: Column) -> Column:
     words = F.aggregate(
         F.slice(groups, F.lit(2), F.size(groups)),
-        _nine_digits(F.get(groups, F.lit(0))),
+        _let(F.get(groups, F.lit(0)), _nine_digits),
         lambda acc, g: F.concat(acc, F.lit("billion"), _nine_digits(g)),
     )
-    return F.when(words == "", F.lit(ONES[0])).otherwise(words)
+    return _let(words, lambda w: F.when(w == "", F.lit(ONES[0])).otherwise(w))
 
 
-def ordinal_words(digits: Column) -> Column:
-    groups = _groups(digits)
-    last = F.element_at(groups, -1)
+def integer_words(digits: Column) -> Column:
+    """Spoken form of a digit string of any length; every group of nine counts billions."""
+    return _let(_bare(digits), lambda bare: _let(_groups(bare), _chain))
+
+
+def _ordinal_chain(groups: Column) -> Column:
     above = F.size(groups) > 1
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
     head = F.when(
-        above, F.concat(integer_words(F.substring(bare, F.lit(1), F.length(bare) - 9)), F.lit("billion"))
+        above, F.concat(_chain(F.slice(groups, F.lit(1), F.size(groups) - 1)), F.lit("billion"))
     ).otherwise("")
-    return (
-        F.when(above & (last == 0), F.concat(head, F.lit("th")))
+    return _let(
+        F.element_at(groups, -1),
+        lambda last: F.when(above & (last == 0), F.concat(head, F.lit("th")))
         .when(last == 0, F.lit(ORDINAL_ONES[0]))
-        .otherwise(F.concat(head, _nine_digits_ordinal(last)))
+        .otherwise(F.concat(head, _nine_digits_ordinal(last))),
     )
 
 
-def decimal_words(number: Column) -> Column:
-    clean = F.replace(number, F.lit(","), F.lit(""))
-    whole, fraction = F.split_part(clean, F.lit("."), F.lit(1)), F.split_part(clean, F.lit("."), F.lit(2))
+def ordinal_words(digits: Column) -> Column:
+    return _let(_bare(digits), lambda bare: _let(_groups(bare), _ordinal_chain))
+
+
+def decimal_words(clean: Column) -> Column:
+    """Digits with at most one decimal point."""
+    part = lambda n: F.split_part(clean, F.lit("."), F.lit(n))
     digits = F.array_join(
-        F.transform(F.split(fraction, ""), lambda d: _lookup(ONES, d.cast("int"))), ""
+        F.transform(F.split(part(2), ""), lambda d: _lookup(ONES, d.cast("int"))), ""
+    )
+    return F.concat(
+        integer_words(part(1)),
+        F.when(F.contains(clean, F.lit(".")), F.concat(F.lit("point"), digits)).otherwise(""),
     )
-    return F.when(
-        F.contains(clean, F.lit(".")), F.concat(integer_words(whole), F.lit("point"), digits)
-    ).otherwise(integer_words(whole))
 
 
 def _encode(text: Column, pattern: str, tag) -> Column:
@@ -130,13 +148,19 @@ def _encode(text: Column, pattern: str, tag) -> Column:
 
 def _spell(token: Column) -> Column:
     tag = F.substring(token, 1, 1)
-    number = F.translate(F.substring(token, F.lit(2), F.length(token)), _CODES[1], _CODES[0])
-    plain = decimal_words(number)
-    result = F.when(tag == "O", ordinal_words(F.replace(number, F.lit(","), F.lit(""))))
-    result = result.when(tag == "C", F.concat(plain, F.lit("percent")))
+    number = F.replace(
+        F.translate(F.substring(token, F.lit(2), F.length(token)), _CODES[1], _CODES[0]),
+        F.lit(","), F.lit(""),
+    )
+    unit = F.when(tag == "C", "percent")
     for code, name in _CURRENCIES.items():
-        result = result.when(tag == code, F.concat(plain, F.lit(name)))
-    return result.otherwise(plain)
+        unit = unit.when(tag == code, name)
+    return _let(
+        number,
+        lambda n: F.when(tag == "O", ordinal_words(n)).otherwise(
+            F.concat(decimal_words(n), unit.otherwise(""))
+        ),
+    )
 
 
 def spoken_form(text: Column) -> Column:
@@ -148,14 +172,27 @@ def spoken_form(text: Column) -> Column:
     currency = lambda m: F.when(F.contains(m, F.lit("$")), "D").when(
         F.contains(m, F.lit("£")), "P"
     ).otherwise("E")
-    step = _encode(text, rf"[$£€]\s*{_NUMBER}", currency)
-    step = _encode(step, rf"{_NUMBER}\s*%", lambda m: F.lit("C"))
-    step = _encode(step, r"(?iU)\b[0-9][0-9,]*(?:st|nd|rd|th)\b", lambda m: F.lit("O"))
-    step = _encode(step, _NUMBER, lambda m: F.lit("N"))
-    token = rf"{MARK}([A-Z][a-l]+){MARK}"
-    around = F.split(step, token, -1)
-    spelled = F.transform(F.regexp_extract_all(step, F.lit(token), F.lit(1)), _spell)
-    whole = F.array_join(
-        F.zip_with(around, spelled, lambda a, s: F.concat(a, F.coalesce(s, F.lit("")))), ""
+    passes = (
+        (rf"[$£€]\s*{_NUMBER}", currency),
+        (rf"{_NUMBER}\s*%", lambda m: F.lit("C")),
+        (r"(?iU)\b[0-9][0-9,]*(?:st|nd|rd|th)\b", lambda m: F.lit("O")),
+        (_NUMBER, lambda m: F.lit("N")),
     )
+
+    def marking(pattern: str, tag):
+        return lambda t: _encode(t, pattern, tag)
+
+    marked = text
+    for pattern, tag in passes:
+        marked = _let(marked, marking(pattern, tag))
+    token = rf"{MARK}([A-Z][a-l]+){MARK}"
+
+    def spelled(t: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(t, F.lit(token), F.lit(1)), _spell)
+        around = F.split(t, token, -1)
+        return F.array_join(
+            F.zip_with(around, words, lambda a, w: F.concat(a, F.coalesce(w, F.lit("")))), ""
+        )
+
+    whole = F.when(text.rlike("[0-9]"), _let(marked, spelled)).otherwise(text)
     return F.regexp_replace(F.upper(whole), "[^A-Z]+", "")
