@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("lines", "intervals", "frames", "evaluation", "cleaning", "alignment")
+AREAS = ("lines", "intervals", "frames", "evaluation", "cleaning", "alignment", "jobs", "streaming")
 
 
 def load():

@@ -247,3 +247,54 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         t.cast("long").alias("f0"), (t + 3).cast("long").alias("f1"),
         F.when(t != 2, F.floor(t / 2)).cast("long").alias("owner_word"),
     )
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs: status as stage, priority as requested profile."""
+    key = F.col("o_orderkey")
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("job_no"), F.lpad(F.lower(F.hex(key)), 32, "0").alias("job_id"),
+        F.concat(
+            F.lit("Track_"), F.col("o_custkey").cast("string"),
+            pick([" - Artist", "", " - A - B"], key), F.lit("."),
+            pick(["mp3", "WAV", "txt", "flac"], key),
+        ).alias("filename"),
+        F.when(F.col("o_orderstatus") == "F", pick(["complete", "error", "cancelled"], key))
+        .when(F.col("o_orderstatus") == "O", "queued").otherwise("transcribing").alias("stage"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "fast")
+        .when(F.col("o_orderpriority") == "2-HIGH", " Accurate ")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", "balanced")
+        .when(F.col("o_orderpriority") == "5-LOW", "turbo").alias("quality"),
+        pick(["EN", "Auto-detect", "pt", "klingon", "français", "fre"], key).alias("language"),
+        (key % 1300 / 10.0 - 10.0).alias("progress"),
+        (F.col("o_totalprice") / 40.0).alias("duration"),
+        F.floor(F.col("o_totalprice") * 1200).cast("long").alias("bytes"),
+        F.col("o_orderdate").cast("timestamp").alias("created_at"),
+        pick(
+            ["CUDA out of memory", "cuda: no kernel image is available", "Connection reset",
+             "first line\nlast line  ", "", "Download failed"], key
+        ).alias("error"),
+        F.when(key % 4 != 0, F.concat(F.lit("log "), key.cast("string"))).alias("last_log"),
+        F.when(key % 3 == 0, "lab/asr-small").otherwise("").alias("transcription_model_id"),
+        F.when(key % 5 == 0, "vocals.wav").alias("vocal_path"),
+    )
+
+
+def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as log lines: two lines each, a percentage and a coloured blank or note."""
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("job_id"),
+        (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).cast("long").alias("_at"),
+        F.col("l_suppkey").alias("_s"), (F.col("l_quantity") * 2).cast("int").alias("_q"),
+    )
+    note = F.when(F.col("_s") % 3 == 0, "\x1b[0m \x1b[31m").otherwise(
+        F.concat(F.lit("\x1b[32mnote "), F.col("_s").cast("string"), F.lit("\x1b[0m"))
+    )
+    return items.select(
+        "job_id", F.posexplode(
+            F.array(F.concat(F.lit("separating "), F.col("_q").cast("string"), F.lit("% done")), note)
+        ).alias("_k", "line"), "_at", "_s",
+    ).select(
+        "job_id", (F.col("_at") * 2000 + F.col("_s") * 2 + F.col("_k")).alias("seq"), "line"
+    )

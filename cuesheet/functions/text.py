@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from cuesheet.constants import HALLUCINATIONS
 from cuesheet.functions.numeric import round_exact
@@ -18,7 +18,7 @@ NOT_WORD_OR_APOSTROPHE = r"[^\p{L}\p{N}_']+"
 ASCII_ONLY = r"^[\x00-\x7F]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(
         lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold()

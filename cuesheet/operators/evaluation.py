@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuesheet.functions.edit import edit_path
 from cuesheet.functions.numeric import round_exact
@@ -56,7 +56,10 @@ def without_adlibs(tokens: DataFrame, include_adlibs: bool = False) -> DataFrame
     return tokens if include_adlibs else tokens.filter(F.col("kind") != "adlib")
 
 
-@F.pandas_udf("array<struct<op:int,ref:int,cand:int>>")
+_STEP = T.StructType([T.StructField(n, T.IntegerType()) for n in ("op", "ref", "cand")])
+
+
+@F.pandas_udf(T.ArrayType(_STEP))
 def _edit_steps(reference: pd.Series, candidate: pd.Series) -> pd.Series:
     def steps(ref, cand):
         return [

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -59,3 +61,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> Data
 def constant_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A lookup table made from constants of this package, so its size is fixed."""
     return F.broadcast(spark.createDataFrame(rows, schema))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_cuesheet_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "cuesheet.zip")
+    with zipfile.ZipFile(archive, "w") as target:
+        for folder, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    target.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._cuesheet_shipped = True

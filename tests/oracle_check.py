@@ -93,7 +93,7 @@ def main():
         try:
             good, note = compare(spark, connection, name, function, oracles.get(name), sf_dir)
         except Exception as error:  # report and go on with the next query
-            good, note = False, f"{type(error).__name__}: {str(error)[:1500]}"
+            good, note = False, f"{type(error).__name__}: {str(error)[-1500:]}"
         print("ok  " if good else "FAIL", name, note, flush=True)
         if not good:
             failed.append(name)
