@@ -104,7 +104,7 @@ def greedy_segments(
     ``df`` carries a block column. ``certain(before, row)`` must imply ``breaks``; ``breaks``
     gets (count, first row, last row, row), and must break once ``count`` is ``longest``.
     """
-    chunk = chunk or CHUNK
+    chunk = max(chunk or CHUNK, longest)
     payload = [c for c in df.columns if c not in keys and c != BLOCK]
     islands = cut_groups(df, keys, order, [*keys, *payload], certain, "_island")
     own = F.floor(F.col("_island_pos") / chunk)
@@ -112,9 +112,13 @@ def greedy_segments(
     placed = islands.withColumn(
         "chunk",
         F.explode(
-            F.when(offset >= chunk - longest, F.array(own, own + 1))
-            .when((offset < longest - 1) & (own > 0), F.array(own - 1, own))
-            .otherwise(F.array(own))
+            F.array_compact(
+                F.array(
+                    own,
+                    F.when(offset >= chunk - longest, own + 1),
+                    F.when((offset < longest - 1) & (own > 0), own - 1),
+                )
+            )
         ),
     )
     row = F.struct(F.col("_island_pos").alias("pos"), *[F.col(c) for c in [*keys, *payload]])
