@@ -9,6 +9,7 @@ from cuesheet.catalog import sql
 from cuesheet.catalog.registry import query
 from cuesheet.functions.numeric import to_ms
 from cuesheet.operators import cleaning as cl
+from cuesheet.operators.transcript import finish_words
 from cuesheet.plans.session import stage
 
 R = sql.rounded
@@ -172,3 +173,17 @@ def q_publish(spark, sf_dir):
         to_ms(first["start"]).alias("first_ms"), to_ms(last["end"]).alias("last_ms"),
         F.rint(last["fill"] * 1e6).cast("int").alias("last_fill_ppm"),
     )
+
+
+@query("q_transcript")
+def q_transcript(spark, sf_dir):
+    """The whole cleaning chain on conversation words; checked against a plain rule in tests."""
+    words = stage(fixtures.words(spark, sf_dir), "words")
+    unit = F.struct("start", "end", F.lit(1.0).alias("fill"), F.lit(False).alias("pause_before"))
+    placed = words.withColumn(
+        "source_layer", F.when(F.col("phrase") % 3 == 0, "center").otherwise("side")
+    ).withColumn("timing", F.array(unit))
+    return finish_words(placed).select(
+        "track_id", "word_no", "kind", "phrase", to_ms(F.col("start")).alias("start_ms"),
+        to_ms(F.col("end")).alias("end_ms"), F.size("timing").alias("units"),
+    )

@@ -64,7 +64,7 @@ def _levelled(spark, sf_dir):
 )
 def q_hysteresis(spark, sf_dir):
     _, levelled = _levelled(spark, sf_dir)
-    return fr.hysteresis_active(levelled, 240).select("track_id", "frame_no", "active")
+    return fr.hysteresis_active(stage(levelled, "levels"), 240).select("track_id", "frame_no", "active")
 
 
 @query("q_runs", f"""WITH {sql.RUNS} SELECT * FROM runs""")

@@ -53,38 +53,43 @@ def energy_stats(frames: DataFrame) -> DataFrame:
 def local_reference(frames: DataFrame, frames_per_block: int = FRAMES_PER_BLOCK) -> DataFrame:
     """Smaller of the 85th percentiles of the 61 frames up to and from each frame.
 
-    Blocks borrow the 60 frames beyond each border, so one shuffle is enough. A window with
-    fewer than 61 frames lies at an end of the track, where the edge value is repeated. The
-    85th percentile of 61 values is the 52nd smallest, without interpolation.
+    The 61 frames up to frame i are those from frame i - 60, so one percentile per frame is
+    enough. Blocks borrow the 60 frames beyond each border, so one shuffle is enough, too.
+    Before the first frame and after the last one the edge value is repeated. The 85th
+    percentile of 61 values is the 52nd smallest, without interpolation.
     """
-    own = F.floor(F.col("frame_no") / frames_per_block)
-    offset = F.col("frame_no") % frames_per_block
+    number = F.col("frame_no")
+    own = F.floor(number / frames_per_block)
+    offset = number % frames_per_block
+    place = lambda block, frame: F.struct(block.alias("block"), frame.cast("long").alias("frame"))
     copies = F.array_compact(
         F.array(
-            own,
-            F.when(offset >= frames_per_block - CONTEXT_FRAMES, own + 1),
-            F.when((offset < CONTEXT_FRAMES) & (own > 0), own - 1),
+            place(own, number),
+            F.when(offset >= frames_per_block - CONTEXT_FRAMES, place(own + 1, number)),
+            F.when((offset < CONTEXT_FRAMES) & (own > 0), place(own - 1, number)),
         )
     )
-    placed = frames.withColumn("_own", own).withColumn(BLOCK, F.explode(copies))
-    window = W.partitionBy("track_id", BLOCK).orderBy("frame_no")
-
-    def rank(values: Column, edge: Column) -> Column:
-        missing = F.array_repeat(edge, F.lit(CONTEXT_FRAMES + 1) - F.size(values))
-        return F.get(F.sort_array(F.concat(values, missing)), F.lit(51))
-
-    gathered = placed.select(
-        "*",
-        F.collect_list("rms").over(window.rowsBetween(-CONTEXT_FRAMES, 0)).alias("_trail"),
-        F.collect_list("rms").over(window.rowsBetween(0, CONTEXT_FRAMES)).alias("_lead"),
-    ).filter(F.col("_own") == F.col(BLOCK))
-    return gathered.select(
-        *frames.columns,
-        F.least(
-            rank(F.col("_trail"), F.element_at("_trail", 1)),
-            rank(F.col("_lead"), F.element_at("_lead", -1)),
-        ).alias("local_ref"),
+    before_first = F.transform(
+        F.sequence(F.lit(-CONTEXT_FRAMES), F.lit(-1)), lambda f: place(own, f)
+    )
+    placed = frames.withColumn("_own", own).withColumn(
+        "_at", F.explode(F.when(number == 0, F.concat(copies, before_first)).otherwise(copies))
+    )
+    window = W.partitionBy("track_id", "_at.block").orderBy("_at.frame")
+    values = F.collect_list("rms").over(window.rowsBetween(0, CONTEXT_FRAMES))
+    middle = F.lit(51)
+    missing = F.array_repeat(
+        F.element_at("_values", -1), F.lit(CONTEXT_FRAMES + 1) - F.size("_values")
+    )
+    ranked = placed.withColumn("_values", values).withColumn(
+        "_p",
+        F.when(F.size("_values") == CONTEXT_FRAMES + 1, F.get(F.sort_array("_values"), middle))
+        .otherwise(F.get(F.sort_array(F.concat("_values", missing)), middle)),
     )
+    reached = ranked.withColumn("_before", F.lag("_p", CONTEXT_FRAMES).over(window))
+    return reached.filter(
+        (F.col("_own") == F.col("_at.block")) & (F.col("_at.frame") == number)
+    ).select(*frames.columns, F.least("_before", "_p").alias("local_ref"))
 
 
 def thresholds(referenced: DataFrame, stats: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from cuesheet.plans.segments import greedy_segments
 SENTENCE_END = r"[.!?…]\n?$"
 _LONGEST = max(rule[0] for rule in LINE_RULES.values())
 _ORDER = ["start", "end", "word_no"]
+_WORKING = ("pos", "track_id", "kind", "_most", "_longest", "_gap", "_ends")
 
 
 def _rule(kind: Column, index: int) -> Column:
@@ -50,29 +51,29 @@ def group_lines(
 
     def certain(before: Column, row: Column) -> Column:
         gap = row["start"] - before["end"]
-        return (gap > _rule(row["kind"], 2)) | (
-            (row["phrase"] != before["phrase"]) & (gap > 0.06)
-        )
+        return (gap > row["_gap"]) | ((row["phrase"] != before["phrase"]) & (gap > 0.06))
 
     def breaks(count: Column, first: Column, last: Column, row: Column) -> Column:
         gap = row["start"] - last["end"]
         length = row["end"] - first["start"]
         return (
-            (gap > _rule(row["kind"], 2))
-            | (count >= _rule(row["kind"], 0))
-            | (length > _rule(row["kind"], 1))
-            | ((count >= 3) & last["text"].rlike(SENTENCE_END))
+            (gap > row["_gap"])
+            | (count >= row["_most"])
+            | (length > row["_longest"])
+            | ((count >= 3) & last["_ends"])
             | (
                 (row["phrase"] != last["phrase"])
                 & ((gap > 0.06) | (count >= 4) | (length >= 2.5))
             )
         )
 
-    stream = with_block(
-        words.filter(F.col("kind").isin(*LINE_RULES)), F.col("start"), block_seconds
+    ruled = words.filter(F.col("kind").isin(*LINE_RULES)).select(
+        "*", _rule(F.col("kind"), 0).alias("_most"), _rule(F.col("kind"), 1).alias("_longest"),
+        _rule(F.col("kind"), 2).alias("_gap"), F.col("text").rlike(SENTENCE_END).alias("_ends"),
     )
     segments = greedy_segments(
-        stream, ["track_id", "kind"], _ORDER, certain, breaks, _LONGEST, chunk
+        with_block(ruled, F.col("start"), block_seconds), ["track_id", "kind"], _ORDER,
+        certain, breaks, _LONGEST, chunk, ["start", "end", "phrase", "_gap"],
     )
     return assemble_lines(segments.withColumnRenamed("rows", "words"))
 
@@ -85,7 +86,7 @@ def assemble_lines(lines: DataFrame) -> DataFrame:
         F.element_at("words", 1)["start"].alias("start"),
         F.element_at("words", -1)["end"].alias("end"),
         F.element_at("words", 1)["word_no"].alias("first_word"),
-        F.transform("words", lambda w: w.dropFields("pos", "track_id", "kind")).alias("words"),
+        F.transform("words", lambda w: w.dropFields(*_WORKING)).alias("words"),
     )
 
 

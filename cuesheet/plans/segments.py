@@ -21,15 +21,16 @@ CHUNK = 4096
 
 
 def _fold(rows: Column, first_own: Column, entry: Column, breaks) -> Column:
-    """Fold rows from ``first_own`` on; struct(count, breaks = positions of segment starts)."""
-    before = F.filter(rows, lambda r: r["pos"] < first_own)
+    """Fold rows from ``first_own`` on; struct(count, breaks = positions of segment starts).
+
+    Positions are consecutive, so the rows of the open segment are the ``entry`` rows before.
+    """
+    place = (first_own - F.get(rows, F.lit(0))["pos"]).cast("int")
     opened = entry > 0
-    missing = F.get(rows, F.lit(-1))  # a null of the row type
     zero = F.struct(
         entry.cast("int").alias("count"),
-        F.when(opened, F.try_element_at(before, F.when(opened, -entry).otherwise(-1).cast("int")))
-        .otherwise(missing).alias("first"),
-        F.when(opened, F.try_element_at(before, F.lit(-1))).otherwise(missing).alias("last"),
+        F.get(rows, F.when(opened, place - entry).otherwise(-1).cast("int")).alias("first"),
+        F.get(rows, F.when(opened, place - 1).otherwise(-1).cast("int")).alias("last"),
         F.array().cast("array<bigint>").alias("breaks"),
     )
 
@@ -43,27 +44,25 @@ def _fold(rows: Column, first_own: Column, entry: Column, breaks) -> Column:
             .otherwise(acc["breaks"]).alias("breaks"),
         )
 
-    own = F.filter(rows, lambda r: r["pos"] >= first_own)
+    own = F.slice(rows, place + 1, F.size(rows))
     return F.aggregate(own, zero, step, lambda acc: F.struct(acc["count"], acc["breaks"]))
 
 
 def _entry_counts(chunks: DataFrame, group: list[str], breaks, longest: int, chunk: int):
     """Rows in the open segment at the start of every chunk but the first of long islands."""
     first_own = F.col("chunk") * chunk
-    own = F.filter(F.col("rows"), lambda r: r["pos"] < first_own + chunk)
+    stop = (first_own + chunk - F.element_at("rows", 1)["pos"]).cast("int")
 
     def leave(count: Column) -> Column:
         return _fold(F.col("own"), F.col("chunk") * chunk, count, breaks)["count"]
 
+    counts = F.when(F.col("chunk") == 0, F.array(F.lit(0))).otherwise(
+        F.sequence(F.lit(1), F.lit(longest))
+    )
     maps = (
-        chunks.withColumn("own", own)
-        .filter(F.try_element_at("own", F.lit(-1))["pos"] == first_own + chunk - 1)
-        .select(
-            *group, "chunk",
-            F.when(F.col("chunk") == 0, F.array(leave(F.lit(0))))
-            .otherwise(F.transform(F.sequence(F.lit(1), F.lit(longest)), leave))
-            .alias("leave"),
-        )
+        chunks.filter(F.size("rows") >= stop)
+        .withColumn("own", F.slice("rows", F.lit(1), stop))
+        .select(*group, "chunk", F.transform(counts, leave).alias("leave"))
     )
 
     def chain(acc: Column, c: Column) -> Column:
@@ -98,15 +97,16 @@ def greedy_segments(
     breaks,
     longest: int,
     chunk: int | None = None,
+    looks_at: list[str] | None = None,
 ) -> DataFrame:
     """One row per segment: ``keys`` and ``rows``, the segment's rows in order.
 
-    ``df`` carries a block column. ``certain(before, row)`` must imply ``breaks``; ``breaks``
-    gets (count, first row, last row, row), and must break once ``count`` is ``longest``.
+    ``df`` carries a block column. ``certain(before, row)`` must imply ``breaks`` and reads
+    the columns ``looks_at``; ``breaks`` gets (count, first row, last row, row), and must break once ``count`` is ``longest``.
     """
     chunk = max(chunk or CHUNK, longest)
     payload = [c for c in df.columns if c not in keys and c != BLOCK]
-    islands = cut_groups(df, keys, order, [*keys, *payload], certain, "_island")
+    islands = cut_groups(df, keys, order, looks_at or payload, certain, "_island")
     own = F.floor(F.col("_island_pos") / chunk)
     offset = F.col("_island_pos") % chunk
     placed = islands.withColumn(

@@ -1,4 +1,4 @@
-"""Session settings, the shared scratch folder, and size-checked broadcasts."""
+"""Session settings, the shared scratch folder, stored stages and constant tables."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_LIMIT_ROWS = 100_000
-
 
 def build_session(app: str = "cuesheet", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution on. Cluster sizing is left to spark-submit."""
@@ -52,12 +50,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a bounded count proves it small; else leave the join to AQE."""
-    fits = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if fits else df
-
-
 def constant_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A lookup table made from constants of this package, so its size is fixed."""
     return F.broadcast(spark.createDataFrame(rows, schema))
