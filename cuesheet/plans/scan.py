@@ -110,14 +110,15 @@ def following(df: DataFrame, keys: list[str], order: list[str], columns: list[st
 
 
 def running_clamp(
-    df: DataFrame, keys: list[str], order: list[str], first: str, low: str, high: str, shift: int,
-    name: str,
+    df: DataFrame, keys: list[str], order: list[str], first: str, low: str, high: str, more: str,
+    shift: int, name: str,
 ) -> DataFrame:
     """Solve ``x[i+1] = min(high[i], max(low[i], x[i] + shift))`` along ``order`` per key.
 
-    ``x`` starts at the key's first value of ``first``; all four are whole numbers. Such steps
-    compose to steps of the same form, so a block is summed up by (rows, low, high) and the
-    blocks are chained; each block then runs its own steps from a known value.
+    ``x`` starts at the key's first value of ``first``; all four are whole numbers. ``more``
+    tells whether the key goes on after a row. Such steps compose to steps of the same form,
+    so a block is summed up by (rows, low, high) and the blocks are chained; each block then
+    runs its own steps from a known value.
     """
     row = F.struct(*[F.col(o) for o in order], *[F.col(c) for c in df.columns
                    if c not in (*order, *keys, BLOCK)])
@@ -131,7 +132,11 @@ def running_clamp(
             limit(r, acc["hi"] + shift).alias("hi"),
         ),
     )
-    summed = F.struct(F.col(BLOCK).alias("block"), F.element_at("_rows", 1)[first].alias("first"), whole.alias("w"))
+    summed = F.struct(
+        F.col(BLOCK).alias("block"),
+        F.element_at("_rows", 1)[first].alias("first"),
+        F.when(F.element_at("_rows", -1)[more], whole).alias("w"),  # a key's last block leads nowhere
+    )
     entries = F.aggregate(
         F.array_sort(F.collect_list(summed)),
         F.struct(
