@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, quality, sharding, warc
+from cuesheet.llm import decontaminate, langid, quality, secrets, sharding, warc
 from cuesheet.llm.common import table
 from cuesheet.plans.session import shared_folder
 
@@ -143,3 +143,13 @@ FROM f LEFT JOIN v USING (source)
 """)
 def op10_quality(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op3_langid")
+def op3_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secrets")
+def op8_secrets(spark, sf_dir):
+    return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
