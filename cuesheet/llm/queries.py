@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, langid, quality, secrets, sharding, warc
+from cuesheet.llm import decontaminate, langid, packing, quality, secrets, sharding, urlfilter, warc
 from cuesheet.llm.common import table
 from cuesheet.plans.session import shared_folder
 
@@ -153,3 +154,45 @@ def op3_langid(spark, sf_dir):
 @query("op8_secrets")
 def op8_secrets(spark, sf_dir):
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op5_url_filters", r"""
+WITH RECURSIVE
+u AS (SELECT page_id, html, coalesce(url, '') url FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+             regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') path FROM u),
+r AS (SELECT *, CASE WHEN fits('example.net', '/en/') THEN 'example.net/en/' WHEN fits('example.com', '/de/') THEN 'example.com/de/'
+                     WHEN fits('org', '/fr/') THEN 'org/fr/' WHEN fits('net', '/') THEN 'net/' END rule FROM p),
+v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END ruling FROM r),
+l AS (SELECT host src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<a\s[^>]*?href\s*=\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)', 1)) link FROM p),
+e AS (SELECT src, dst, count(*) n FROM (
+        SELECT src, translate(regexp_extract(CASE WHEN link LIKE '//%' THEN 'x:' || link ELSE link END, '^.*?://([^/?#]*)', 1, 's'),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') dst FROM l)
+      WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+w AS (SELECT 'trust' kind, src, dst, n / sum(n) OVER (PARTITION BY src) weight FROM e
+      UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
+seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) seed FROM (
+            SELECT CASE ruling WHEN 'allow' THEN 'trust' ELSE 'distrust' END kind, host, count(*) n FROM v WHERE ruling IS NOT NULL GROUP BY ALL)),
+rank(step, kind, host, score) AS (
+  SELECT 0, kind, host, seed FROM seeds
+  UNION ALL
+  SELECT step, kind, host, sum(score) FROM (
+    SELECT k.step + 1 step, k.kind, w.dst host, 0.85 * k.score * w.weight score FROM rank k JOIN w ON w.kind = k.kind AND w.src = k.host WHERE k.step < 16
+    UNION ALL
+    SELECT s.step + 1, d.kind, d.host, 0.15 * d.seed FROM (SELECT DISTINCT step FROM rank) s, seeds d WHERE s.step < 16)
+  GROUP BY step, kind, host),
+h AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) t, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) d
+      FROM rank WHERE step = 16 GROUP BY host)
+SELECT page_id, v.host, path, rule, coalesce(ruling, CASE WHEN d > 0.5 * (t + d) THEN 'block' ELSE 'allow' END) verdict
+FROM v LEFT JOIN h ON h.host = v.host
+""".replace("fits('example.net', '/en/')", "(host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/')")
+   .replace("fits('example.com', '/de/')", "(host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/')")
+   .replace("fits('org', '/fr/')", "(host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/')")
+   .replace("fits('net', '/')", "(host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/')"))
+def op5_url_filters(spark, sf_dir):
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query("op9_packing")
+def op9_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
