@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, langid, packing, quality, secrets, sharding, urlfilter, warc
+from cuesheet.llm import decontaminate, langid, neardup, packing, quality, secrets, sharding, urlfilter, warc
 from cuesheet.llm.common import table
 from cuesheet.plans.session import shared_folder
 
@@ -196,3 +196,21 @@ def op5_url_filters(spark, sf_dir):
 @query("op9_packing")
 def op9_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_minhash", r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') g FROM (
+        SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, seen) AS (SELECT a, a FROM both_ways UNION SELECT b.b, r.seen FROM reach r JOIN both_ways b ON b.a = r.node),
+c AS (SELECT node, min(seen) component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT n_shingles, coalesce(component_id, doc_id) component_id, coalesce(component_id, doc_id) = doc_id kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id
+""")
+def op6_minhash(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
