@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cuesheet.llm.common import map_batches
+from cuesheet.llm.common import map_batches, merged_spans
 
 WINDOW = 10
 #: Text bytes of the benchmark items whose patterns one pass over the documents looks for.
@@ -138,20 +138,35 @@ def contamination(
         passes += 1
     if not passes:
         found = _search_pass(found, [], window)
-    merged = F.expr("""
-        aggregate(array_sort(hits),
-          named_struct('runs', cast(array() as array<struct<first: int, after: int>>), 'first', 0, 'after', 0),
-          (a, x) -> if(x.first <= a.after and a.after > 0,
-            named_struct('runs', a.runs, 'first', a.first, 'after', greatest(a.after, x.after)),
-            named_struct('runs', if(a.after > 0, concat(a.runs, array(named_struct('first', a.first, 'after', a.after))), a.runs),
-                         'first', x.first, 'after', x.after)),
-          a -> if(a.after > 0, concat(a.runs, array(named_struct('first', a.first, 'after', a.after))), a.runs))""")
-    return found.select("doc_id", "n_words", merged.alias("spans"), F.array_distinct("items").alias("items")).select(
+    return found.select("doc_id", "n_words", merged_spans("hits", "int").alias("spans"), F.array_distinct("items").alias("items")).select(
         "doc_id", "n_words", "spans", "items",
         F.expr("aggregate(spans, 0L, (n, s) -> n + s.after - s.first)").alias("n_hit"),
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows without any hit, all columns as they came; one pass over the rows for each block of items."""
+    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
+
+    def clean(df: DataFrame, block: list[tuple[int | None, str | None]]) -> DataFrame:
+        sent = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = search_tables(sent.value, window)
+            for batch in batches:
+                keep = []
+                for text in batch.column("text").to_pylist():
+                    words = words_of(text)
+                    keep.append(not any(next(table.search(words), None) for table in tables))
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return map_batches(df, run, schema)
+
+    for block in _blocks(benchmark, block_bytes):
+        docs = clean(docs, block)
+    return docs
+
+
 def contamination_digest(found: DataFrame) -> DataFrame:
     """The counts, the digest of the item_ids, and the verdict."""
     names = F.array_sort(F.transform(F.filter("items", lambda i: i.isNotNull()), lambda i: i.cast("string")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, langid, neardup, packing, quality, secrets, sharding, urlfilter, warc
+from cuesheet.llm import decontaminate, langid, neardup, packing, quality, secrets, sharding, suffixes, urlfilter, warc
 from cuesheet.llm.common import table
 from cuesheet.plans.session import shared_folder
 
@@ -214,3 +214,8 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON node = doc_id
 """)
 def op6_minhash(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_array")
+def op7_suffix_array(spark, sf_dir):
+    return suffixes.removal_digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
