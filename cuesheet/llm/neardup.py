@@ -3,7 +3,8 @@
 A text's set holds the hashes of its 5-word shingles. Each distinct set keeps ``BITS`` low bits of
 each of BANDS * ROWS minima, packed into longs, and one key per band of minima. Sets that share a band key
 are candidates; bit counts of the packed signatures, corrected for chance collisions, estimate
-their similarity; candidates near or above the threshold are confirmed on the full sets.
+their similarity. A parity bit per hash slot bounds the similarity from above without error. Candidates
+that pass both, near or above the threshold, are confirmed on the full sets.
 
 Equal sets are one node from the start. In each band bucket every node is first compared with the
 bucket's smallest node only. After components of those links are known, nodes of one bucket that
@@ -32,7 +33,7 @@ from cuesheet.llm.common import map_batches
 from cuesheet.llm.components import components
 from cuesheet.plans.session import stage
 
-SHINGLE, BANDS, ROWS, BITS = 5, 51, 5, 4
+SHINGLE, BANDS, ROWS, BITS, PARITY = 5, 51, 5, 4, 2048
 HASHES = BANDS * ROWS
 PERCENT = 75
 DEVIATIONS = 4.5
@@ -128,13 +129,26 @@ def equal_lanes(a: str, b: str) -> Column:
     return F.expr(f"{HASHES} - ({' + '.join(terms)})")
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """For each of PARITY hash slots, whether it holds an odd number of the set's shingles, in longs."""
+    odd = np.bincount((shingles & _U64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def not_too_different(percent: int) -> Column:
+    """Slots of unequal parity are a lower bound of the symmetric difference, and so an upper bound of the
+    similarity; pairs above the threshold always pass. Every filter here is on both sides' columns a_*, b_*."""
+    unequal = " + ".join(f"bit_count(a_parity[{n}] ^ b_parity[{n}])" for n in range(PARITY // 64))
+    return F.expr(f"({unequal}) * {100 + percent} <= (a_n + b_n) * {100 - percent}")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, bits) of every row; digest stands for the set."""
+    """(doc_id, n_shingles, digest, bands, bits, parity) of every row; digest stands for the set."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, bands, bits = [], [], [], []
+            sizes, digests, bands, bits, parity = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text)
                 low = minima(shingles) if len(shingles) else None
@@ -142,12 +156,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
                 bands.append(None if low is None else band_keys(low))
                 bits.append(None if low is None else packed_bits(low))
+                parity.append(None if low is None else parity_bits(shingles))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, kind), pa.array(bits, kind)],
-                names=["doc_id", "n_shingles", "digest", "bands", "bits"])
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, kind), pa.array(bits, kind), pa.array(parity, kind)],
+                names=["doc_id", "n_shingles", "digest", "bands", "bits", "parity"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>")
+    return map_batches(rows, run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>, parity array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -193,20 +208,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # equal sets become one node; numbers are given while the table is written
     nodes = stage(
         all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("parity").alias("parity"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     members = stage(banded.join(shared.select("key", "leader"), "key"), "buckets")
-    traits = nodes.select("node", "n", "bits")
+    traits = nodes.select("node", "n", "bits", "parity")
 
     def ends(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(traits.select(*[F.col(c).alias(f"{side}_{c}".replace(f"{side}_node", side)) for c in traits.columns]), side)
         return pairs
 
-    alike = (equal_lanes("a_bits", "b_bits") >= least_matches(percent)) & F.expr(
-        f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
+    alike = F.expr(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)") & (
+        equal_lanes("a_bits", "b_bits") >= least_matches(percent)) & not_too_different(percent)
     stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stage(ends(stars).filter(alike).select("a", "b"), "pairs")
     wanted = nodes.join(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "node", "left_semi")
@@ -218,8 +233,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     parts = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", "size").alias("largest")).filter("parts > 1").select("key", "largest")
     apart = stage(placed.join(mixed, "key").join(traits, "node"), "apart")
-    left = apart.select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), (F.col("label") == F.col("largest")).alias("a_largest"))
-    right = apart.filter("label <> largest").select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
+    left = apart.select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("parity").alias("a_parity"), (F.col("label") == F.col("largest")).alias("a_largest"))
+    right = apart.filter("label <> largest").select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"), F.col("parity").alias("b_parity"))
     across = left.join(right, (F.col("key") == F.col("b_key")) & (F.col("a_label") != F.col("b_label")) & (F.col("a_largest") | (F.col("a") < F.col("b"))) & alike)
     rest = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stage(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")

@@ -357,8 +357,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = stage(_anchor_rows(_identified(docs)), "anchors")
     tag = F.xxhash64("digest", "first")
     keys = rows.groupBy("key").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).filter("low <> high").select("key")
+    rows = stage(rows.join(keys, "key", "left_semi"), "shared")
     # surroundings of each shared anchor, with one place that stands for all equal ones
-    around = stage(rows.join(keys, "key", "left_semi").groupBy("key", "context").agg(
+    around = stage(rows.groupBy("key", "context").agg(
         F.min(tag).alias("low"), F.max(tag).alias("high"), F.min(F.struct("digest", "first", "starts", "place")).alias("one")), "around")
     sizes = around.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     chosen = around.join(sizes, "key").select("key", "context", "one", "n")
