@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import random
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,11 +30,45 @@ from cuesheet.plans.session import stage
 
 CAPACITY, END_ID, GROUP_PIECES, ISLANDS = 4096, 1, 2048, 2
 POPULATION, GENERATIONS, OFFSPRING = 5, 6, 4
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 #: Split at by str.split() but not white space for the tokenizer.
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+class _WordIds(dict):
+    """Chunk of text without white space -> its ids as bytes, computed at the first use.
+
+    A chunk of Latin letters is one word for the vocabulary's model, and a full stop or comma after it is
+    another; everything else goes through the whole tokenizer."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies keep as they are
+        other = [b for b in range(256) if b not in kept]
+        self.alphabet = {b: 256 + n for n, b in enumerate(other)}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha() and plain(chunk):
+            tokens = self.model.tokenize(chunk.lower().encode().decode("latin-1").translate(self.alphabet))
+            ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        elif len(chunk) > 1 and chunk[-1] in ".," and chunk[:-1].isalpha() and plain(chunk):
+            ids = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            ids = whole(self.tokenizer, chunk)
+        self[chunk] = ids
+        return ids
+
+
+def plain(text: str) -> bool:
+    """Latin and already composed, so that lower case goes character by character."""
+    return text.isascii() or (max(text) < "\u0250" and "\u0130" not in text and unicodedata.is_normalized("NFC", text))
+
+
+def whole(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class WordTokenizer:
     """Token ids as little-endian 32-bit bytes. The vocabulary never joins characters across white space,
     so ids of white-space separated chunks are computed once and kept, within a bound."""
@@ -42,25 +77,16 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.known = _WordIds(Tokenizer.from_file(path))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Words of ASCII letters are looked up in lower case, which the tokenizer uses anyway."""
-        chunks, new = [], set()
-        for text in texts:
-            odd = any(c in text for c in _SEPARATORS)
-            words = [text] if odd else (text.lower() if "<" not in text and text.isascii() else text).split()
-            chunks.append(words)
-            new.update(words)
+    def encode(self, text: str) -> bytes:
+        if any(c in text for c in _SEPARATORS):
+            return whole(self.known.tokenizer, text)
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        missing = list(new.difference(self.known))
-        self.known.update(zip(missing, self._encode(missing)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in chunks]
+        # special tokens are upper and lower case sensitive; all other text is lower-cased by the tokenizer anyway
+        words = (text.lower() if text and "<" not in text and plain(text) else text).split()
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -75,9 +101,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         _TOKENIZERS[tokenizer_path] = tokenizer
         for batch in batches:
             rows = [[], [], [], [], []]
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts)):
-                ids += end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = tokenizer.encode(text or "") + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     for column, value in zip(rows, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
