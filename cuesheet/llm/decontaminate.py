@@ -146,7 +146,6 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows without any hit, all columns as they came; one pass over the rows for each block of items."""
-    schema = docs.schema.simpleString().removeprefix("struct<").removesuffix(">")
 
     def clean(df: DataFrame, block: list[tuple[int | None, str | None]]) -> DataFrame:
         sent = df.sparkSession.sparkContext.broadcast(block)
@@ -160,7 +159,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                     keep.append(not any(next(table.search(words), None) for table in tables))
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        return map_batches(df, run, schema)
+        return map_batches(df, run, df.schema)
 
     for block in _blocks(benchmark, block_bytes):
         docs = clean(docs, block)

@@ -168,4 +168,4 @@ def keep_identified(docs: DataFrame, model: KernelModel | None = None) -> DataFr
             keep = [sent.value.predict(text)[0] != UNKNOWN for text in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(docs, run, docs.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return map_batches(docs, run, docs.schema)

@@ -255,6 +255,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, all columns as they came. Rows that repeat a doc_id are one document."""
     gone = stage(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    sent = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(sent, docs["doc_id"] == gone["dropped_id"], "left_anti")

@@ -78,7 +78,7 @@ def training_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_char
     ids = rows.filter("hint").orderBy("order").limit(sample_rows).unionByName(
         rows.filter("not hint").orderBy("order").limit(sample_rows)).select(F.col("doc_id").alias("id"))
     # the ids' number is bounded by the parameter
-    texts = docs.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("id")).select(
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("id")).select(
         F.substring("text", 1, sample_chars).alias("start"), order.alias("order"))
     random, ordinary = [], []
     for (text, _) in texts.filter("start is not null").orderBy("order", "start").limit(2 * sample_rows).collect():
@@ -158,7 +158,7 @@ def mask_secrets(docs: DataFrame, samples: tuple[list[str], list[str]] | None =
             texts = [mask_text(t, ratio.value) for t in batch.column("text").to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    masked = map_batches(docs, run, docs.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    masked = map_batches(docs, run, docs.schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         masked = masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast(kind), F.col("n_chars")))
