@@ -143,7 +143,7 @@ def q_gate(spark, sf_dir):
 
 
 _KNOWN = ", ".join(
-    f"('{a}', '{name}')" for name, spellings in ALIGNER_LANGUAGES.items() for a in spellings.split()
+    f"('{a}', '{name}')" for name, spellings in ALIGNER_LANGUAGES.items() for a in spellings
 )
 
 

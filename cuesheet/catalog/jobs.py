@@ -12,7 +12,7 @@ from cuesheet.operators import jobs as jb
 from cuesheet.plans.session import shared_folder
 from cuesheet.sources import jobs as js
 
-_LANG = ", ".join(f"('{a}', '{n}')" for n, s in c.LANGUAGE_SPELLINGS.items() for a in s.split())
+_LANG = ", ".join(f"('{a}', '{n}')" for n, s in c.LANGUAGE_SPELLINGS.items() for a in s)
 _EXT = ", ".join(f"'{e}'" for e in c.AUDIO_EXTENSIONS)
 _Q = lambda text: text.replace("'", "''")
 
@@ -78,11 +78,11 @@ def q_profile(spark, sf_dir):
     )
 
 
-def _known(spark, sf_dir):
-    """Jobs with a valid profile, plus the columns the public view needs."""
-    named = jb.canonical_profile(fixtures.jobs(spark, sf_dir)).filter(F.col("profile").isNotNull())
+def _shown(spark, sf_dir):
+    """All jobs, those of unknown profiles included, plus the columns the public view needs."""
+    named = jb.canonical_profile(fixtures.jobs(spark, sf_dir))
     blank = F.lit("")
-    return named.withColumn("quality", F.col("profile")).select(
+    return named.withColumn("quality", F.coalesce("profile", "quality")).select(
         "*", F.lit("ready").alias("status"), F.lit("gpu").alias("device"),
         blank.alias("transcription_backend"), blank.alias("transcription_model"),
         blank.alias("alignment_model"), blank.alias("alignment_model_id"),
@@ -102,7 +102,7 @@ _PROFILE_NAMES = ", ".join(c.PROFILE_COLUMNS)
 j AS (
   SELECT named.*, p.*, greatest(0e0, least(100e0, progress)) AS pr,
     coalesce(nullif(transcription_model_id, ''), asr_model) AS mid
-  FROM named JOIN p ON profile = asked)
+  FROM named LEFT JOIN p ON profile = asked)
 SELECT job_id, stage, CAST(round_even({sql.rounded('pr', 1)} * 10, 0) AS BIGINT) AS progress_tenths, asked AS quality,
   separation_model, asr_backend AS transcription_backend, split_part(mid, '/', -1) AS transcription_model,
   mid AS transcription_model_id, split_part(aligner_model, '/', -1) AS alignment_model,
@@ -110,7 +110,7 @@ SELECT job_id, stage, CAST(round_even({sql.rounded('pr', 1)} * 10, 0) AS BIGINT)
 FROM j""",
 )
 def q_public_jobs(spark, sf_dir):
-    return jb.public_jobs(_known(spark, sf_dir)).select(
+    return jb.public_jobs(_shown(spark, sf_dir)).select(
         "job_id", "stage", F.rint(F.col("progress") * 10).cast("long").alias("progress_tenths"),
         "quality", "separation_model", "transcription_backend", "transcription_model",
         "transcription_model_id", "alignment_model", "vocal_url",

@@ -169,15 +169,15 @@ SELECT track_id, line_no, '[' || lpad(CAST(CAST(floor(start / 60) AS BIGINT) AS
 FROM y""",
 )
 def q_lrc(spark, sf_dir):
-    """Lyric files are written and read back; a line's place in its track is its number."""
+    """Lyric files are written and read back whole; a line's number is its place in its track's file."""
     folder = shared_folder(spark, "lrc")
     lines = stage(line_rows(spark, sf_dir), "numbered")
     tm.write_lrc(lines, folder)
-    written = spark.read.text(folder).select("track_id", "value")
-    numbered = tm.lrc_lines(lines).withColumn("track_id", F.col("track_id").cast("int"))
-    return numbered.join(written.distinct(), ["track_id", "value"]).select(
-        F.col("track_id").cast("long").alias("track_id"), "line_no", "value"
-    )
+    files = spark.read.text(folder, wholetext=True)
+    return files.select(
+        F.col("track_id").cast("long").alias("track_id"),
+        F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "value"),
+    ).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query(

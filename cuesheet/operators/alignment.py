@@ -129,7 +129,7 @@ def uses_english(requested: Column, detected: Column) -> Column:
 
 def aligner_language(spark, segments: DataFrame) -> DataFrame:
     """Adds ``aligner_language``, null when the multilingual aligner does not know it."""
-    names = [(a, name) for name, spellings in ALIGNER_LANGUAGES.items() for a in spellings.split()]
+    names = [(a, name) for name, spellings in ALIGNER_LANGUAGES.items() for a in spellings]
     dim = constant_table(spark, names, "_key string, aligner_language string")
     compact = lambda c: F.replace(
         F.lower(strip_space(F.coalesce(F.col(c), F.lit("")))), F.lit("-"), F.lit("")

@@ -53,7 +53,7 @@ def validated(tokens: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def without_adlibs(tokens: DataFrame, include_adlibs: bool = False) -> DataFrame:
-    return tokens if include_adlibs else tokens.filter(F.col("kind") != "adlib")
+    return tokens if include_adlibs else tokens.filter(~F.col("kind").eqNullSafe("adlib"))
 
 
 _STEP = T.StructType([T.StructField(n, T.IntegerType()) for n in ("op", "ref", "cand")])

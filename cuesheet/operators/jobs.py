@@ -26,7 +26,7 @@ def profiles(spark: SparkSession) -> DataFrame:
 
 
 def languages(spark: SparkSession) -> DataFrame:
-    rows = [(a, name) for name, spellings in LANGUAGE_SPELLINGS.items() for a in spellings.split()]
+    rows = [(a, name) for name, spellings in LANGUAGE_SPELLINGS.items() for a in spellings]
     return constant_table(spark, rows, "alias string, canonical_language string")
 
 
@@ -92,9 +92,13 @@ def clean_model_metadata(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def public_jobs(jobs: DataFrame) -> DataFrame:
-    """The view shown to clients: actual models before configured ones, results when complete."""
+    """The view shown to clients: actual models before configured ones, results when complete.
+
+    A job of an unknown profile stays, with null configured models and the fault in ``error``."""
     dim = profiles(jobs.sparkSession)
-    joined = jobs.join(dim.withColumnRenamed("profile", "quality"), "quality")
+    joined = jobs.join(dim.withColumnRenamed("profile", "quality"), "quality", "left").withColumn(
+        "error", F.coalesce("error", F.when(F.col("label").isNull(), F.concat(
+            F.lit("unknown profile: "), F.coalesce("quality", F.lit("none"))))))
     given = lambda c: F.nullif(F.col(c), F.lit(""))
     asr_id = F.coalesce(given("transcription_model_id"), "asr_model")
     align_id = F.coalesce(given("alignment_model_id"), "aligner_model")

@@ -67,6 +67,7 @@ def group_lines(
             )
         )
 
+    words = words.withColumn("kind", F.coalesce("kind", F.lit("lead")))
     ruled = words.filter(F.col("kind").isin(*LINE_RULES)).select(
         "*", _rule(F.col("kind"), 0).alias("_most"), _rule(F.col("kind"), 1).alias("_longest"),
         _rule(F.col("kind"), 2).alias("_gap"), F.col("text").rlike(SENTENCE_END).alias("_ends"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cuesheet.operators.cleaning import adlib_filter, deduplicate_words, polish_timings, publish_words
+from cuesheet.operators.cleaning import adlib_filter, deduplicate_words, polish_timings, publish_words, with_defaults
 from cuesheet.plans.session import stage
 
 
@@ -14,6 +14,7 @@ def finish_words(placed: DataFrame) -> DataFrame:
     ``placed`` has (track_id, word_no, text, start, end, kind, phrase, source_layer, timing).
     It is read several times, so pass a stored table.
     """
+    placed = with_defaults(placed)
     lead = placed.filter(F.col("kind") == "lead")
     adlibs = adlib_filter(placed.filter(F.col("kind") == "adlib"), lead)
     polished = stage(polish_timings(lead.unionByName(adlibs)), "finished")

@@ -65,6 +65,15 @@ def _merge(item: Running, local: Column, carried: Column) -> Column:
     return F.coalesce(local, carried)
 
 
+_WHOLE_KEY, _WHOLE_BLOCK = "_whole_key", "_whole_block"
+
+
+def _whole_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Keys and block as structs: a struct that holds a null equals another such struct, so rows
+    with null keys or blocks stay together when summaries are joined back."""
+    return df.withColumns({_WHOLE_KEY: F.struct(*keys), _WHOLE_BLOCK: F.struct(BLOCK)}), [_WHOLE_KEY]
+
+
 def running(
     df: DataFrame, keys: list[str], order: list[str], outputs: list[Running],
     backwards: bool = False,
@@ -75,22 +84,23 @@ def running(
     """
     order_columns = [F.col(o) for o in order]
     facing = F.desc if backwards else F.asc
-    local_window = W.partitionBy(*keys, BLOCK).orderBy(*[facing(o) for o in order])
+    given, (df, keys) = df.columns, _whole_keys(df, keys)
+    local_window = W.partitionBy(*keys, _WHOLE_BLOCK).orderBy(*[facing(o) for o in order])
     scanned = df.select(
         "*", *[_local(o, local_window).alias(f"_l_{o.name}") for o in outputs]
     )
-    before = W.partitionBy(*keys).orderBy(facing(BLOCK)).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(facing(_WHOLE_BLOCK)).rowsBetween(W.unboundedPreceding, -1)
     carried = (
-        df.groupBy(*keys, BLOCK)
+        df.groupBy(*keys, _WHOLE_BLOCK)
         .agg(*[_summary(o, order_columns, backwards).alias(f"_s_{o.name}") for o in outputs])
         .select(
             *keys,
-            BLOCK,
+            _WHOLE_BLOCK,
             *[_carry(o, F.col(f"_s_{o.name}"), before).alias(f"_c_{o.name}") for o in outputs],
         )
     )
-    return scanned.join(carried, [*keys, BLOCK]).select(
-        *df.columns,
+    return scanned.join(carried, [*keys, _WHOLE_BLOCK]).select(
+        *given,
         *[
             _merge(o, F.col(f"_l_{o.name}"), F.col(f"_c_{o.name}")).alias(o.name)
             for o in outputs
@@ -122,7 +132,9 @@ def running_clamp(
     """
     row = F.struct(*[F.col(o) for o in order], *[F.col(c) for c in df.columns
                    if c not in (*order, *keys, BLOCK)])
-    blocks = df.groupBy(*keys, BLOCK).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    named, given = keys, df.columns
+    df, keys = _whole_keys(df, keys)
+    blocks = df.groupBy(*keys, _WHOLE_BLOCK).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     limit = lambda r, value: F.least(r[high], F.greatest(r[low], value))
     whole = F.aggregate(
         "_rows",
@@ -133,7 +145,7 @@ def running_clamp(
         ),
     )
     summed = F.struct(
-        F.col(BLOCK).alias("block"),
+        F.col(_WHOLE_BLOCK).alias("block"),
         F.element_at("_rows", 1)[first].alias("first"),
         F.when(F.element_at("_rows", -1)[more], whole).alias("w"),  # a key's last block leads nowhere
     )
@@ -141,13 +153,13 @@ def running_clamp(
         F.array_sort(F.collect_list(summed)),
         F.struct(
             F.lit(None).cast("long").alias("x"),
-            F.array().cast(f"array<struct<{BLOCK}:bigint,_x:bigint>>").alias("entries"),
+            F.array().cast(f"array<struct<{_WHOLE_BLOCK}:struct<{BLOCK}:bigint>,_x:bigint>>").alias("entries"),
         ),
         lambda acc, b: F.struct(
             F.least(b["w"]["hi"], F.greatest(b["w"]["lo"], F.coalesce(acc["x"], b["first"]) + b["w"]["n"])).alias("x"),
             F.array_append(
                 acc["entries"],
-                F.struct(b["block"].alias(BLOCK), F.coalesce(acc["x"], b["first"]).alias("_x")),
+                F.struct(b["block"].alias(_WHOLE_BLOCK), F.coalesce(acc["x"], b["first"]).alias("_x")),
             ).alias("entries"),
         ),
         lambda acc: acc["entries"],
@@ -161,10 +173,11 @@ def running_clamp(
         ),
         lambda acc: acc["out"],
     )
-    solved = blocks.join(known, [*keys, BLOCK]).select(
+    solved = blocks.join(known, [*keys, _WHOLE_BLOCK]).select(
         *keys, F.inline(F.arrays_zip(F.col("_rows").alias("row"), values.alias("x")))
     )
-    return solved.select(*keys, "row.*", F.col("x").alias(name))
+    return solved.select(f"{_WHOLE_KEY}.*", "row.*", F.col("x").alias(name)).select(
+        *named, *[c for c in (*order, *[c for c in given if c not in (*order, *named, BLOCK)])], name)
 
 
 def cut_groups(
@@ -185,7 +198,8 @@ def cut_groups(
     group. Each block works out its inner cuts; whether its first row starts a group follows
     from the block summaries alone, so one pass over the rows is enough.
     """
-    window = W.partitionBy(*keys, BLOCK).orderBy(*order)
+    given, (df, keys) = df.columns, _whole_keys(df, keys)
+    window = W.partitionBy(*keys, _WHOLE_BLOCK).orderBy(*order)
     so_far = window.rowsBetween(W.unboundedPreceding, 0)
     position = F.struct(*[F.col(o) for o in order])
     row = F.struct(*[F.col(c) for c in carry_columns])
@@ -211,7 +225,7 @@ def cut_groups(
         *df.columns, "_n", F.last("_start", ignorenulls=True).over(so_far).alias("_local")
     )
 
-    summaries = marked.groupBy(*keys, BLOCK).agg(
+    summaries = marked.groupBy(*keys, _WHOLE_BLOCK).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.max("_start").alias("_last"),
         F.min_by(row, position).alias("_head"),
@@ -222,7 +236,7 @@ def cut_groups(
             else F.max_by(row, position)
         ).alias("_tail"),
     )
-    blocks = W.partitionBy(*keys).orderBy(BLOCK)
+    blocks = W.partitionBy(*keys).orderBy(_WHOLE_BLOCK)
     upto = blocks.rowsBetween(W.unboundedPreceding, -1)
     if running_max:
         entering = F.struct(F.max(f"_tail.{running_max}").over(upto).alias(running_max))
@@ -266,14 +280,14 @@ def cut_groups(
     )
     carried = opened.select(
         *keys,
-        BLOCK,
+        _WHOLE_BLOCK,
         "_offset",
         "_entering",
         F.coalesce("_opening", F.last("_closing", ignorenulls=True).over(upto)).alias("_carried"),
     )
     inside = still_cut("_local")
-    return local.join(carried, [*keys, BLOCK]).select(
-        *df.columns,
+    return local.join(carried, [*keys, _WHOLE_BLOCK]).select(
+        *given,
         F.when(inside, F.col("_local.at")).otherwise(F.col("_carried.at")).alias(name),
         F.when(inside, F.col("_n") - F.col("_local.n"))
         .otherwise(F.col("_offset") + F.col("_n") - F.col("_carried.n"))

@@ -172,14 +172,11 @@ def lrc_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_lrc(lines: DataFrame, path: str, lines_per_file: int = 100_000) -> None:
-    """Lyric files in line order. A track of more lines than ``lines_per_file`` gets several
-    part files, so no single task has to write it."""
-    part = F.floor(F.col("line_no") / lines_per_file)
-    rendered = lrc_lines(lines).withColumn("part", part)
-    rendered.repartition("track_id", "part").sortWithinPartitions(
-        "track_id", "part", "line_no"
-    ).select("track_id", "part", "value").write.partitionBy("track_id", "part").text(path)
+def write_lrc(lines: DataFrame, path: str) -> None:
+    """One lyric file per track, below ``track_id=...``, in line order. A file is one task's work
+    by nature; the tracks spread over the tasks."""
+    rendered = lrc_lines(lines).repartition("track_id").sortWithinPartitions("track_id", "line_no")
+    rendered.select("track_id", "value").write.partitionBy("track_id").option("maxRecordsPerFile", 0).text(path)
 
 
 def _percent(name: str) -> Column:
