@@ -30,6 +30,7 @@ from cuesheet.llm.common import map_batches
 
 SLOT_BITS, BLOCK, ORDERS = 14, 1024, 3
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS, LANDMARKS, RIDGE = 300, 3000, 8192, 256, 0.3
+MAX_LANGUAGES = 500
 UNKNOWN = "und"
 
 
@@ -129,10 +130,16 @@ def _held_out():
 def training_sample(
     docs: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS
 ) -> list[tuple[str, str]]:
-    """At most ``sample_rows`` (text, lang) pairs; only their ids are ranked, so no texts are shuffled."""
+    """At most ``sample_rows`` (text, lang) pairs. Only ids are ranked, and only those whose hash is low enough for
+    their language's count, so no texts are shuffled and no task ranks more than a few times ``per_language``."""
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("language"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("order"))
-    ranked = ids.withColumn("rank", F.row_number().over(W.partitionBy("language").orderBy("order"))).filter(F.col("rank") <= per_language)
+        F.col("doc_id").alias("id"), F.col("lang").alias("language"), order.alias("order"))
+    # the most frequent languages, a bounded number of rows
+    counts = ids.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(MAX_LANGUAGES)
+    share = F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = ids.join(F.broadcast(counts), "language").filter(share * F.col("n") < 4 * per_language)
+    ranked = drawn.withColumn("rank", F.row_number().over(W.partitionBy("language").orderBy("order"))).filter(F.col("rank") <= per_language)
     chosen = ranked.orderBy("rank", "order").limit(sample_rows).select("id", "rank", "order")
     texts = docs.select("doc_id", F.substring("text", 1, sample_chars).alias("start"), "lang").filter("lang is not null")
     # the ids' number is bounded by sample_rows
