@@ -5,8 +5,8 @@ trained from labelled samples: the values of base matches are random strings, th
 tokens of the same texts are ordinary. A token is a further span of kind ``markov`` if its
 log-likelihood ratio, in total and per step, is high and it touches no base span.
 
-The sample is bounded: ``sample_rows`` texts that hold a base match and as many others, in the order
-of a hash of doc_id, ``sample_chars`` characters of each. All whole texts are scanned, one by one.
+The sample is bounded: of about POOL_ROWS rows with the lowest hash of doc_id, ``sample_rows`` texts that hold a base
+match and as many others, in the order of that hash, ``sample_chars`` characters of each. All whole texts are scanned, one by one.
 
 Defined results: a null text is empty. Spans count code points, end exclusive, and cover the whole
 match. Without labelled random strings no markov span is added. Repeated rows are judged one by
@@ -26,6 +26,7 @@ from cuesheet.llm.common import map_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_ROWS, SAMPLE_CHARS, MIN_TOKEN, MIN_RATIO, MIN_STEP = 500, 50_000, 20, 20.0, 0.7
+POOL_ROWS = 20_000
 MASK = "[SECRET]"
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -72,9 +73,11 @@ def log_ratio(random: list[str], ordinary: list[str]) -> np.ndarray | None:
 
 
 def training_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Values of base matches, and other tokens, from a bounded sample of texts."""
+    """Values of base matches, and other tokens, from a bounded sample of texts, drawn from about ``POOL_ROWS`` rows."""
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    rows = docs.select("doc_id", order.alias("order"), F.col("text").rlike(_HINT).alias("hint")).filter("hint is not null")
+    share = F.conv(F.substring(order, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    pool = docs.filter(share * max(1, docs.count()) < POOL_ROWS)
+    rows = pool.select("doc_id", order.alias("order"), F.col("text").rlike(_HINT).alias("hint")).filter("hint is not null")
     ids = rows.filter("hint").orderBy("order").limit(sample_rows).unionByName(
         rows.filter("not hint").orderBy("order").limit(sample_rows)).select(F.col("doc_id").alias("id"))
     # the ids' number is bounded by the parameter
