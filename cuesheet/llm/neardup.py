@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("parity").alias("parity"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
+    # stored, so that joins with them can split a bucket that very many nodes share
+    shared = stage(banded.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1"), "shared")
     members = stage(banded.join(shared.select("key", "leader"), "key"), "buckets")
     traits = nodes.select("node", "n", "bits", "parity")
 
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # nodes of one bucket that the stars left in different components
     placed = members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", "size").alias("largest")).filter("parts > 1").select("key", "largest")
+    mixed = stage(parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", "size").alias("largest")).filter("parts > 1").select("key", "largest"), "mixed")
     apart = stage(placed.join(mixed, "key").join(traits, "node"), "apart")
     left = apart.select("key", F.col("node").alias("a"), F.col("label").alias("a_label"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("parity").alias("a_parity"), (F.col("label") == F.col("largest")).alias("a_largest"))
     right = apart.filter("label <> largest").select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"), F.col("parity").alias("b_parity"))

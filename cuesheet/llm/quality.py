@@ -81,7 +81,8 @@ def host_verdicts(measures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
 def quality_rules(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """(doc_id, measures, base_failed, kept). The measures are written once and read by both branches."""
     measures = stage(text_measures(docs, host), "quality")
-    verdicts = host_verdicts(measures, max_rate).select("host", "host_kept")
+    # stored, so that the join can split a host with very many documents
+    verdicts = stage(host_verdicts(measures, max_rate).select("host", "host_kept"), "hosts")
     return measures.join(verdicts, "host", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"),

@@ -356,12 +356,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     place. Copies as a whole are not listed here."""
     rows = stage(_anchor_rows(_identified(docs)), "anchors")
     tag = F.xxhash64("digest", "first")
-    keys = rows.groupBy("key").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).filter("low <> high").select("key")
+    # stored, so that joins with them can split an anchor that very many texts share
+    keys = stage(rows.groupBy("key").agg(F.min(tag).alias("low"), F.max(tag).alias("high")).filter("low <> high").select("key"), "keys")
     rows = stage(rows.join(keys, "key", "left_semi"), "shared")
     # surroundings of each shared anchor, with one place that stands for all equal ones
     around = stage(rows.groupBy("key", "context").agg(
         F.min(tag).alias("low"), F.max(tag).alias("high"), F.min(F.struct("digest", "first", "starts", "place")).alias("one")), "around")
-    sizes = around.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = stage(around.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     chosen = around.join(sizes, "key").select("key", "context", "one", "n")
     wanted = chosen.groupBy("one.digest").agg(F.collect_list(F.struct(
         "key", "context", "one.first", "one.starts", "one.place")).alias("items"))

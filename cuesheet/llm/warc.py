@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cuesheet.plans.session import stage
+
 #: Shorter payloads are never replaced by a reference.
 MIN_REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,7 +54,8 @@ def record_index(pages: DataFrame) -> DataFrame:
 
 def record_headers(index: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """The header block of each record as the bytes that an archive file would hold."""
-    first = index.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"))
+    # stored, so that the join can split a digest that very many pages share
+    first = stage(index.groupBy("payload_digest").agg(F.min("page_id").alias("first_id")), "first")
     revisit = (F.col("payload_bytes") >= min_revisit_bytes) & (F.col("page_id") != F.col("first_id"))
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     lines = F.concat_ws(
