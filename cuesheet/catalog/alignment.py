@@ -9,7 +9,7 @@ from cuesheet.catalog import sql
 from cuesheet.catalog.registry import query
 from cuesheet.constants import ALIGNER_LANGUAGES
 from cuesheet.functions.numeric import to_ms
-from cuesheet.functions.spoken import _below_thousand, _ordinal_below_thousand, spoken_form
+from cuesheet.functions.spoken import spoken_form
 from cuesheet.operators import alignment as al
 from cuesheet.plans.session import stage
 
@@ -297,8 +297,11 @@ def q_map_timestamps(spark, sf_dir):
     )
 
 
-_WORDS_BELOW = ", ".join(f"'{_below_thousand(i).upper()}'" for i in range(1000))
-_ORDINALS_BELOW = ", ".join(f"'{_ordinal_below_thousand(i).upper()}'" for i in range(1000))
+# The number words of the twin, stated apart from those of the library.
+_SMALL = ["", "ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE", "THIRTEEN",
+          "FOURTEEN", "FIFTEEN", "SIXTEEN", "SEVENTEEN", "EIGHTEEN", "NINETEEN"]
+_TENS = ["TWENTY", "THIRTY", "FORTY", "FIFTY", "SIXTY", "SEVENTY", "EIGHTY", "NINETY"]
+_LINE_ORDINALS = ["FIRST", "SECOND", "THIRD", "FOURTH", "FIFTH", "SIXTH", "SEVENTH"]
 
 
 def _duck_number(n):
@@ -312,13 +315,18 @@ def _duck_number(n):
 
 @query(
     "q_spoken",
-    f"""WITH dims AS (SELECT [{_WORDS_BELOW}] AS card, [{_ORDINALS_BELOW}] AS ord),
+    f"""WITH names AS (SELECT {_SMALL} AS small, {_TENS} AS tens, {_LINE_ORDINALS} AS ord),
+dims AS (
+  SELECT list(CASE WHEN i = 0 THEN 'ZERO' ELSE CASE WHEN i >= 100 THEN small[1 + i // 100] || 'HUNDRED' ELSE '' END
+    || CASE WHEN i % 100 >= 20 THEN tens[i % 100 // 10 - 1] || small[1 + i % 10] ELSE small[1 + i % 100] END END ORDER BY i) AS card,
+    any_value(ord) AS ord
+  FROM range(1000) r(i), names),
 n AS (
   SELECT DISTINCT l_orderkey AS k, l_linenumber AS no, CAST(l_quantity AS BIGINT) AS q, l_extendedprice AS price,
     CAST(floor(l_extendedprice) AS BIGINT) AS whole, split_part(CAST(l_extendedprice AS VARCHAR), '.', 2) AS cents
   FROM lineitem)
 SELECT k, no, q, CAST(round_even(price * 100, 0) AS BIGINT) AS price_cents,
-  {_duck_number('k')} || {_duck_number('q')} || 'PERCENT' || ord[1 + no] || 'FOR' || {_duck_number('whole')} || 'POINT'
+  {_duck_number('k')} || {_duck_number('q')} || 'PERCENT' || ord[no] || 'FOR' || {_duck_number('whole')} || 'POINT'
   || array_to_string(list_transform(string_split(cents, ''), lambda d: card[1 + CAST(d AS INT)]), '') || 'DOLLARS' AS spoken
 FROM n, dims""",
 )

@@ -117,22 +117,54 @@ def q_focus(spark, sf_dir):
     )
 
 
+# Units of the words of q_fill: begin and end as shares of the word, fill for words of kind 1 and 2, pause before.
+_UNITS = ((0.0, 0.3, 0.25, 0.6, False), (0.3, 0.45, 0.6, 0.25, False), (0.8, 0.95, 1.0, 0.9, True))
+
+
+def _landmark(k, begin, end, first, second, pause):
+    """One landmark of the twin: where its sweep begins and ends, what it fills, and the fill at t if t lies in it."""
+    sweep = f"greatest(mark{k - 1}, least(begin{k}, mark{k}) - 0.065e0)" if pause else f"mark{k - 1}"
+    eased = f"share{k} * share{k} * (3e0 - 2e0 * share{k})" if pause else f"share{k}"
+    return f"""a{k} AS (
+  SELECT *, start + len * {begin}e0 AS begin{k}, greatest(mark{k - 1} + 0.001e0, least("end", start + len * {end}e0)) AS mark{k},
+    greatest(done{k - 1}, CASE kind WHEN 1 THEN {first}e0 ELSE {second}e0 END) AS done{k} FROM m{k - 1}),
+b{k} AS (SELECT *, {sweep} AS sweep{k} FROM a{k}),
+c{k} AS (SELECT *, greatest(0e0, least(1e0, (t - sweep{k}) / greatest(0.016e0, mark{k} - sweep{k}))) AS share{k} FROM b{k}),
+m{k} AS (
+  SELECT *, CASE WHEN t <= mark{k} THEN CASE WHEN t <= sweep{k} THEN done{k - 1}
+    ELSE done{k - 1} + (done{k} - done{k - 1}) * ({eased}) END END AS fill{k} FROM c{k})"""
+
+
+_LANDMARKS = ",\n".join(_landmark(k, *unit) for k, unit in enumerate(_UNITS, 1))
+
+
 @query(
     "q_fill",
     f"""WITH {sql.WORDS},
 p AS (
   SELECT w.*, CASE k WHEN 0 THEN start WHEN 1 THEN (start + "end") / 2 ELSE start + ("end" - start) * 0.9e0 END AS t
   FROM words w, (SELECT UNNEST([0, 1, 2]) AS k)),
-d AS (SELECT DISTINCT track_id, t FROM p)
-SELECT w.track_id, w.word_no, {sql.ms('d.t')} AS t_ms,
-  CAST(round(CASE WHEN d.t <= w.start THEN 0e0
-       ELSE greatest(0e0, least(1e0, (d.t - w.start) / greatest(0.05e0, w."end" - w.start))) END * 1e6)
-    AS BIGINT) AS fill_ppm
-FROM words w JOIN d ON d.track_id = w.track_id AND w.start <= d.t AND d.t < w."end" """,
+d AS (SELECT DISTINCT track_id, t FROM p),
+m0 AS (
+  SELECT w.track_id, w.word_no, w.start, w."end", w."end" - w.start AS len, d.t, w.word_no % 3 AS kind,
+    w.start AS mark0, 0e0 AS done0
+  FROM words w JOIN d ON d.track_id = w.track_id AND w.start <= d.t AND d.t < w."end"),
+{_LANDMARKS}
+SELECT track_id, word_no, {sql.ms('t')} AS t_ms,
+  CAST(round(CASE WHEN t <= start THEN 0e0 WHEN kind = 0 THEN greatest(0e0, least(1e0, (t - start) / greatest(0.05e0, len)))
+       ELSE coalesce(fill1, fill2, fill3, done3) END * 1e6) AS BIGINT) AS fill_ppm
+FROM m3""",
 )
 def q_fill(spark, sf_dir):
     words = stage(fixtures.words(spark, sf_dir), "words")
-    timing = "array<struct<start:double,end:double,fill:double,pause_before:boolean>>"
+    kind, length = F.col("word_no") % 3, F.col("end") - F.col("start")
+    units = F.array(*[
+        F.struct(
+            (F.col("start") + length * begin).alias("start"), (F.col("start") + length * end).alias("end"),
+            F.when(kind == 1, first).otherwise(second).alias("fill"), F.lit(pause).alias("pause_before"),
+        )
+        for begin, end, first, second, pause in _UNITS
+    ])
     points = words.select(
         "track_id",
         F.explode(
@@ -142,7 +174,7 @@ def q_fill(spark, sf_dir):
             )
         ).alias("t"),
     ).distinct()
-    filled = iv.fill_at(words.withColumn("timing", F.lit(None).cast(timing)), points)
+    filled = iv.fill_at(words.withColumn("timing", F.when(kind > 0, units)), points)
     return filled.select(
         "track_id", "word_no", to_ms(F.col("t")).alias("t_ms"),
         F.rint(F.col("fill") * 1e6).cast("long").alias("fill_ppm"),

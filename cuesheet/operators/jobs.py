@@ -12,7 +12,7 @@ from cuesheet.constants import (
 )
 from cuesheet.functions.numeric import clamp_progress, round_exact
 from cuesheet.functions.text import extension, letters_only, short_model, strip_ansi, strip_space
-from cuesheet.plans.scan import Running, running, with_block
+from cuesheet.plans.scan import counted_steps, with_block
 from cuesheet.plans.session import constant_table
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -205,14 +205,8 @@ def pass_progress(log: DataFrame, passes: str = "passes", lines_per_block: int =
     found = F.regexp_extract(strip_space(F.col("line")), r"(?<![0-9])([0-9]{1,3})%", 1)
     read = log.withColumn("percent", F.when(found != "", F.least(F.lit(100), found.cast("int"))))
     lines = with_block(read.filter(F.col("percent").isNotNull()), F.col("seq"), lines_per_block)
-    before = running(
-        lines, ["job_id"], ["seq"], [Running("_before", "last", F.col("percent"), False)]
-    )
-    restarted = (F.col("_before") >= 75) & (F.col("percent") <= 25)
-    counted = running(
-        before, ["job_id"], ["seq"],
-        [Running("_restarts", "sum", F.coalesce(restarted, F.lit(False)).cast("long"))],
-    )
+    counted = counted_steps(
+        lines, ["job_id"], ["seq"], "percent", lambda before, now: (before >= 75) & (now <= 25), "_restarts")
     current = F.least(F.col("_restarts"), F.col(passes) - 1)
     share = (current * 100 + F.col("percent")) / (F.col(passes) * 100)
     return counted.select(

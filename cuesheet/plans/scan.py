@@ -74,6 +74,26 @@ def _whole_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumns({_WHOLE_KEY: F.struct(*keys), _WHOLE_BLOCK: F.struct(BLOCK)}), [_WHOLE_KEY]
 
 
+def counted_steps(df: DataFrame, keys: list[str], order: list[str], value: str, stepped, name: str) -> DataFrame:
+    """Running count of rows where ``stepped(value before, value)`` holds, in one scan; ``value`` has no nulls.
+
+    Steps inside blocks are counted there; a step between two blocks shows in the first and last values of
+    their summaries."""
+    given, (df, keys) = df.columns, _whole_keys(df, keys)
+    sure = lambda before, now: F.coalesce(stepped(before, now), F.lit(False)).cast("long")
+    inside = W.partitionBy(*keys, _WHOLE_BLOCK).orderBy(*order)
+    counted = df.withColumn("_hit", sure(F.lag(value).over(inside), F.col(value))).withColumn(
+        "_hits", F.sum("_hit").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    blocks = counted.groupBy(*keys, _WHOLE_BLOCK).agg(
+        F.min_by(value, F.struct(*order)).alias("_first"), F.max_by(value, F.struct(*order)).alias("_last"),
+        F.sum("_hit").alias("_total"))
+    along = W.partitionBy(*keys).orderBy(_WHOLE_BLOCK)
+    carried = blocks.withColumn("_edge", sure(F.lag("_last").over(along), F.col("_first"))).select(
+        *keys, _WHOLE_BLOCK,
+        (F.sum(F.col("_total") + F.col("_edge")).over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_total")).alias("_before"))
+    return counted.join(carried, [*keys, _WHOLE_BLOCK]).select(*given, (F.col("_hits") + F.col("_before")).alias(name))
+
+
 def running(
     df: DataFrame, keys: list[str], order: list[str], outputs: list[Running],
     backwards: bool = False,

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuesheet.constants import AUDIO_EXTENSIONS, MODEL_FIELDS
 from cuesheet.functions.text import base_name, extension
+from cuesheet.operators.cleaning import with_defaults
+from cuesheet.operators.lines import words_to_lines
 from cuesheet.operators.jobs import canonical_language, canonical_profile, latest_vocals
 
 JOB_ID = r"(?:^|[/=])([0-9a-f]{32})/"
@@ -46,6 +48,14 @@ def read_documents(spark: SparkSession, paths, schema: str) -> DataFrame:
     )
 
 
+def read_metadata(spark: SparkSession, paths) -> DataFrame:
+    """Metadata documents of jobs. A listed file that cannot be read has ``broken`` set: unlike a job
+    without such a file, its job must not be restored from defaults."""
+    listed = scan_manifest(spark, paths).select(job_id_of(F.col("path")).alias("job_id")).filter("job_id is not null").distinct()
+    documents = read_documents(spark, paths, METADATA_SCHEMA).withColumn("_read", F.lit(True))
+    return listed.join(documents, "job_id", "left").withColumn("broken", F.col("_read").isNull()).drop("_read")
+
+
 def scan_manifest(spark: SparkSession, paths, recursive: bool = False) -> DataFrame:
     """Name, extension, size and time of files. Only these columns are selected, so the
     file contents are never read."""
@@ -62,7 +72,8 @@ def restore_jobs(
 ) -> DataFrame:
     """Completed jobs that can be shown again.
 
-    A job needs an ok result with words and a source file of an audio type. Missing or
+    A job needs an ok result with words and a source file of an audio type, and metadata that is
+    not broken; without metadata it takes the defaults. Missing or
     unknown profile and language fall back to accurate and english; a missing model id falls
     back to the model's name.
     """
@@ -71,9 +82,10 @@ def restore_jobs(
         F.min("file_name").alias("source_name")
     )
     about = metadata.select(
-        "job_id", "filename", "language", "quality", "duration", "device", "created_at"
+        "job_id", "filename", "language", "quality", "duration", "device", "created_at",
+        F.col("broken") if "broken" in metadata.columns else F.lit(False).alias("broken"),
     )
-    joined = good.join(audio, "job_id").join(about, "job_id", "left")
+    joined = good.join(audio, "job_id").join(about, "job_id", "left").filter(~F.coalesce("broken", F.lit(False)))
     named = canonical_profile(
         canonical_language(joined.withColumn("quality", F.coalesce("quality", F.lit("accurate"))))
     )
@@ -100,6 +112,13 @@ def restore_jobs(
     return restored.join(latest_vocals(vocals), "job_id", "left")
 
 
+def restored_lines(restored: DataFrame) -> DataFrame:
+    """(job_id, line_no, line_id, start, end, kind, words): lines of restored jobs, grouped anew from their words."""
+    words = restored.select(F.col("job_id").alias("track_id"), F.posexplode("words").alias("word_no", "word")).select(
+        "track_id", F.col("word_no").cast("long").alias("word_no"), "word.text", "word.start", "word.end", "word.kind", "word.phrase")
+    return words_to_lines(with_defaults(words)).withColumnRenamed("track_id", "job_id")
+
+
 def read_job_results(spark: SparkSession, root: str) -> DataFrame:
     """Restore from one folder per job: job.json, inference-result.json, source.*, separated/."""
     with_id = lambda df: df.withColumn("job_id", job_id_of(F.col("path"))).filter(
@@ -108,7 +127,7 @@ def read_job_results(spark: SparkSession, root: str) -> DataFrame:
     files = with_id(scan_manifest(spark, root, recursive=True))
     return restore_jobs(
         read_documents(spark, f"{root}/*/inference-result.json", RESULT_SCHEMA),
-        read_documents(spark, f"{root}/*/job.json", METADATA_SCHEMA),
+        read_metadata(spark, f"{root}/*/job.json"),
         files.filter(F.col("file_name").startswith("source.")),
         files.filter((F.col("file_name") == "vocals.wav") & F.contains(F.col("path"), F.lit("/separated/"))),
     )
