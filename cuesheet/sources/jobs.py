@@ -50,7 +50,8 @@ def read_documents(spark: SparkSession, paths, schema: str) -> DataFrame:
 
 def read_metadata(spark: SparkSession, paths) -> DataFrame:
     """Metadata documents of jobs. A listed file that cannot be read has ``broken`` set: unlike a job
-    without such a file, its job must not be restored from defaults."""
+    without such a file, its job must not be restored from defaults. Spark lists no files of zero bytes, so
+    an empty file counts as absent."""
     listed = scan_manifest(spark, paths).select(job_id_of(F.col("path")).alias("job_id")).filter("job_id is not null").distinct()
     documents = read_documents(spark, paths, METADATA_SCHEMA).withColumn("_read", F.lit(True))
     return listed.join(documents, "job_id", "left").withColumn("broken", F.col("_read").isNull()).drop("_read")

@@ -80,6 +80,33 @@ def test_restore_keeps_actual_models(spark, tmp_path):
     assert rows[0].vocal_path.endswith("vocals.wav")
 
 
+@pytest.mark.parametrize("metadata, restored", [('{"filename": "a', 0), ('{"duration": "long"}', 0), ("{}", 1), (None, 1)])
+def test_broken_metadata_is_not_replaced_by_defaults(spark, tmp_path, metadata, restored):
+    words = [{"text": "one", "start": 1.0, "end": 1.3}, {"text": "two", "start": 1.4, "end": 1.8}, {"text": "far", "start": 9.0, "end": 9.4}]
+    for job, about in (("a" * 32, metadata), ("b" * 32, "{}")):
+        folder = tmp_path / job
+        folder.mkdir()
+        (folder / "source.mp3").write_bytes(b"1")
+        (folder / "inference-result.json").write_text(json.dumps({"ok": True, "words": words}))
+        if about is not None:
+            (folder / "job.json").write_text(about)
+    jobs = js.read_job_results(spark, str(tmp_path))
+    lines = js.restored_lines(jobs).collect()
+    assert sorted(r.job_id for r in jobs.collect()) == ["a" * 32] * restored + ["b" * 32]
+    assert sorted((r.job_id[0], r.line_no, len(r.words)) for r in lines if r.job_id[0] == "b") == [("b", 0, 2), ("b", 1, 1)]
+
+
+def test_passes_do_not_depend_on_block_size(spark):
+    percents = [10, 80, 20, 90, 100, 5, 25, 75, 25, 24, 99, 1]
+    log = spark.createDataFrame([(job, n, f"{p}%|##") for job in ("x", None) for n, p in enumerate(percents)], "job_id string, seq long, line string")
+    log = log.withColumn("passes", F.lit(9).cast("long"))
+    expected = [1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 4, 5]
+    for size in (1, 2, 5, 4096):
+        rows = jb.pass_progress(log, lines_per_block=size).collect()
+        for job in ("x", None):
+            assert [r.pass_no for r in sorted(rows, key=lambda r: r.seq) if r.job_id == job] == expected
+
+
 def test_only_finished_old_jobs_expire(spark):
     schema = "job_id string, stage string, has_live_work boolean, modified timestamp"
     jobs = spark.sql(
