@@ -75,7 +75,7 @@ def _whole_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def counted_steps(df: DataFrame, keys: list[str], order: list[str], value: str, stepped, name: str) -> DataFrame:
-    """Running count of rows where ``stepped(value before, value)`` holds, in one scan; ``value`` has no nulls.
+    """Running count of rows where ``stepped(value before, value)`` holds, in one ordered pass; ``value`` has no nulls.
 
     Steps inside blocks are counted there; a step between two blocks shows in the first and last values of
     their summaries."""
