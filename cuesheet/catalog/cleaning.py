@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cuesheet import fixtures
 from cuesheet.catalog import sql
+from cuesheet.catalog.intervals import KEPT_ADLIBS
 from cuesheet.catalog.registry import query
 from cuesheet.functions.numeric import to_ms
 from cuesheet.operators import cleaning as cl
@@ -15,10 +16,10 @@ from cuesheet.plans.session import stage
 R = sql.rounded
 
 
-@query(
-    "q_polish",
-    f"""WITH RECURSIVE {sql.WORDS},
-p1 AS (SELECT *, greatest(0e0, start - 0.055e0) AS s0 FROM words),
+def _polish_steps(source):
+    """CTEs that polish a word table by recursion: inside phrases, then between their edges."""
+    return f"""
+p1 AS (SELECT *, greatest(0e0, start - 0.055e0) AS s0 FROM {source}),
 p2 AS (SELECT *, {R('s0')} AS s FROM p1),
 p3 AS (SELECT *, greatest(s + 0.045e0, "end" + 0.018e0) AS e0 FROM p2),
 p4 AS (SELECT *, {R('e0')} AS e, row_number() OVER (
@@ -52,12 +53,19 @@ cross_pass AS (
            least(q.fe - 0.04e0, greatest(CASE WHEN w.n > 1 THEN w.ls ELSE w.x END + 0.04e0, (w.le + q.fs) / 2)) AS b
     FROM cross_pass w JOIN edges q ON q.track_id = w.track_id AND q.rn = w.rn + 1))),
 outer_pass AS (
-  SELECT *, coalesce(lead(prev_end) OVER (PARTITION BY track_id ORDER BY rn), le) AS ne FROM cross_pass)
-SELECT i.track_id, i.kind, i.word_no,
-  {sql.ms('CASE WHEN o.fw = i.word_no THEN o.x ELSE i.x END')} AS start_ms,
-  {sql.ms('CASE WHEN o.lw = i.word_no THEN o.ne ELSE i.ne END')} AS end_ms
-FROM inner_pass i LEFT JOIN outer_pass o
-  ON i.kind = 'lead' AND o.track_id = i.track_id AND o.phrase = i.phrase""",
+  SELECT *, coalesce(lead(prev_end) OVER (PARTITION BY track_id ORDER BY rn), le) AS ne FROM cross_pass)"""
+
+
+_POLISHED = "inner_pass i LEFT JOIN outer_pass o ON i.kind = 'lead' AND o.track_id = i.track_id AND o.phrase = i.phrase"
+_POLISHED_START = "CASE WHEN o.fw = i.word_no THEN o.x ELSE i.x END"
+_POLISHED_END = "CASE WHEN o.lw = i.word_no THEN o.ne ELSE i.ne END"
+
+
+@query(
+    "q_polish",
+    f"""WITH RECURSIVE {sql.WORDS},{_polish_steps('words')}
+SELECT i.track_id, i.kind, i.word_no, {sql.ms(_POLISHED_START)} AS start_ms, {sql.ms(_POLISHED_END)} AS end_ms
+FROM {_POLISHED}""",
 )
 def q_polish(spark, sf_dir):
     polished = cl.polish_timings(stage(fixtures.words(spark, sf_dir), "words"))
@@ -67,15 +75,15 @@ def q_polish(spark, sf_dir):
     )
 
 
-@query(
-    "q_dedup",
-    f"""WITH RECURSIVE {sql.BEATS},
-o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start, kind <> 'lead', "end", word_no) AS rn
-      FROM beats),
+def _dedup_steps(source):
+    """CTEs that drop repeats by recursion; ``source`` has the normal form of a word as its text."""
+    return f"""
+ranked_words AS (
+  SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start, kind <> 'lead', "end", word_no) AS rn FROM {source}),
 run AS (
   SELECT track_id, rn, word_no, "end", FALSE AS dup, word_no AS target,
     [struct_pack(t := text, k := kind, p := phrase, s := start, e := "end", w := word_no)] AS kept
-  FROM o WHERE rn = 1
+  FROM ranked_words WHERE rn = 1
   UNION ALL
   SELECT track_id, rn, word_no, "end", hit IS NOT NULL, coalesce(hit.w, word_no),
     CASE WHEN hit IS NULL THEN list_append(kept, me)[-12:]
@@ -87,7 +95,12 @@ run AS (
             AND (least(me.e, k.e) > greatest(me.s, k.s) OR abs(me.s - k.s) < 0.16e0))[-1] AS hit
     FROM (SELECT o.track_id, o.rn, o.word_no, o."end", r.kept,
             struct_pack(t := o.text, k := o.kind, p := o.phrase, s := o.start, e := o."end", w := o.word_no) AS me
-          FROM run r JOIN o ON o.track_id = r.track_id AND o.rn = r.rn + 1)))
+          FROM run r JOIN ranked_words o ON o.track_id = r.track_id AND o.rn = r.rn + 1)))"""
+
+
+@query(
+    "q_dedup",
+    f"""WITH RECURSIVE {sql.BEATS},{_dedup_steps('beats')}
 SELECT track_id, target AS word_no, {sql.ms('max("end")')} AS end_ms FROM run GROUP BY track_id, target""",
 )
 def q_dedup(spark, sf_dir):
@@ -175,9 +188,23 @@ def q_publish(spark, sf_dir):
     )
 
 
-@query("q_transcript")
+@query(
+    "q_transcript",
+    f"""WITH RECURSIVE {KEPT_ADLIBS},
+chosen AS MATERIALIZED (
+  SELECT * FROM words WHERE kind = 'lead' OR (track_id, phrase) IN (SELECT (track_id, phrase) FROM kept)),{_polish_steps('chosen')},
+polished AS MATERIALIZED (
+  SELECT i.track_id, i.word_no, i.kind, i.phrase, regexp_replace(lower(c.text), '[^\\p{{L}}\\p{{N}}_'']+', '', 'g') AS text,
+    {_POLISHED_START} AS start, {_POLISHED_END} AS "end", c.start AS unit_start, c."end" AS unit_end
+  FROM {_POLISHED} JOIN chosen c ON c.track_id = i.track_id AND c.word_no = i.word_no),
+named AS (SELECT * FROM polished WHERE text <> ''),{_dedup_steps('named')},
+ends AS (SELECT track_id, target AS word_no, max("end") AS "end" FROM run GROUP BY track_id, target)
+SELECT track_id, word_no, kind, phrase, {sql.ms('start')} AS start_ms, {sql.ms('ends."end"')} AS end_ms,
+  CASE WHEN least(ends."end", unit_end) > greatest(start, unit_start) THEN 1 END AS units
+FROM ends JOIN named USING (track_id, word_no)""",
+)
 def q_transcript(spark, sf_dir):
-    """The whole cleaning chain on conversation words; checked against a plain rule in tests."""
+    """The whole cleaning chain on conversation words."""
     words = stage(fixtures.words(spark, sf_dir), "words")
     unit = F.struct("start", "end", F.lit(1.0).alias("fill"), F.lit(False).alias("pause_before"))
     placed = words.withColumn(

@@ -208,9 +208,7 @@ def q_overlap_join(spark, sf_dir):
     )
 
 
-@query(
-    "q_adlib_filter",
-    f"""WITH {_PHRASE_EXTENTS},
+KEPT_ADLIBS = f"""{_PHRASE_EXTENTS},
 side AS (
   SELECT s.track_id, s.phrase, s.n,
     EXISTS (SELECT 1 FROM norm w WHERE w.track_id = e.track_id AND w.kind = 'lead' AND w.n = s.n
@@ -221,8 +219,12 @@ ratio AS (
   SELECT track_id, phrase, avg(CASE WHEN leaked THEN 1e0 ELSE 0e0 END) AS r FROM side GROUP BY ALL),
 kept AS (
   SELECT e.track_id, e.phrase FROM extents e LEFT JOIN ratio USING (track_id, phrase)
-  WHERE e.phrase % 3 = 0 OR (e.n_words <= 6 AND coalesce(r, 1e0) < 0.65e0))
-SELECT track_id, phrase, word_no FROM words JOIN kept USING (track_id, phrase) WHERE kind = 'adlib'""",
+  WHERE e.phrase % 3 = 0 OR (e.n_words <= 6 AND coalesce(r, 1e0) < 0.65e0))"""
+
+
+@query(
+    "q_adlib_filter",
+    f"WITH {KEPT_ADLIBS} SELECT track_id, phrase, word_no FROM words JOIN kept USING (track_id, phrase) WHERE kind = 'adlib'",
 )
 def q_adlib_filter(spark, sf_dir):
     words = stage(fixtures.words(spark, sf_dir), "words").withColumn(
