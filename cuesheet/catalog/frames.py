@@ -8,7 +8,8 @@ from cuesheet import fixtures
 from cuesheet.catalog import sql
 from cuesheet.catalog.registry import query
 from cuesheet.operators import frames as fr
-from cuesheet.plans.session import stage
+from cuesheet.plans.session import shared_folder, stage
+from cuesheet.sources import jobs as js
 
 
 def micro(name):
@@ -151,3 +152,29 @@ def q_inaudible(spark, sf_dir):
         F.least("n_samples", F.col("segment") * 100 + 250 + (F.col("track_id") % 3) * 60).alias("end_sample"),
     )
     return fr.drop_inaudible(segments, samples).select("track_id", "segment")
+
+
+@query(
+    "q_series",
+    f"""WITH {sql.FRAMES},
+v AS (SELECT vec_id, UNNEST(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)
+SELECT 'samples' AS series, CAST(vec_id // 16 AS BIGINT) AS id, CAST(vec_id % 16 * 64 + p AS BIGINT) AS place,
+  CAST(round_even(CAST(CAST(CASE WHEN vec_id // 16 % 2 = 0 AND vec_id % 16 * 64 + p BETWEEN 300 AND 700
+    THEN x::DOUBLE * 0.01e0 ELSE x::DOUBLE END AS FLOAT) AS DOUBLE) * 1e6, 0) AS BIGINT) AS value_micro FROM v
+UNION ALL
+SELECT 'emissions', CAST(vec_id AS BIGINT), CAST(p AS BIGINT), CAST(round_even(-abs(x::DOUBLE) * 10 * 1e6, 0) AS BIGINT) FROM v
+UNION ALL
+SELECT 'frames', CAST(track_id AS BIGINT), CAST(frame_no AS BIGINT), CAST(round_even(rms * 1e6, 0) AS BIGINT) FROM frames""",
+)
+def q_series(spark, sf_dir):
+    """Number series are written as tables and read with their readers."""
+    folder = shared_folder(spark, "series")
+    fixtures.samples(spark, sf_dir).withColumn("v", F.col("v").cast("float")).write.parquet(f"{folder}/samples")
+    fixtures.frames(spark, sf_dir).write.parquet(f"{folder}/frames")
+    fixtures.emissions(spark, sf_dir).write.parquet(f"{folder}/emissions")
+    shape = lambda df, name, key, place, value: df.select(
+        F.lit(name).alias("series"), F.col(key).alias("id"), place.cast("long").alias("place"),
+        F.rint(F.col(value).cast("double") * 1e6).cast("long").alias("value_micro"))
+    return shape(js.read_samples(spark, f"{folder}/samples"), "samples", "track_id", F.col("idx"), "v").unionByName(
+        shape(js.read_emissions(spark, f"{folder}/emissions"), "emissions", "segment_id", F.col("frame") * 8 + F.col("token_id"), "logp")
+    ).unionByName(shape(js.read_frames(spark, f"{folder}/frames"), "frames", "track_id", F.col("frame_no"), "rms"))

@@ -12,7 +12,7 @@ from cuesheet.catalog.registry import ORACLES, query
 from cuesheet.functions.numeric import to_ms
 from cuesheet.operators import intervals as iv
 from cuesheet.plans.session import shared_folder, stage
-from cuesheet.sources import timings as tm
+from cuesheet.sources import jobs as js, timings as tm
 from cuesheet.streaming import jobs as sj, words as sw
 from cuesheet.streaming.sinks import drain, newest
 
@@ -105,6 +105,58 @@ def s_backlog(spark, sf_dir):
     return newest(updates, ["all"]).drop("all")
 
 
+@query(
+    "s_snapshots",
+    """WITH e AS (
+  SELECT l_orderkey AS job_id, CASE WHEN l_linestatus = 'F' THEN 'complete' ELSE 'transcribing' END AS stage,
+    greatest(0, least(100, l_quantity * 3 - 10)) AS progress, 'part ' || l_partkey AS status, l_suppkey,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, 'part ' || l_partkey, l_quantity, l_suppkey) AS rn, l_returnflag
+  FROM lineitem WHERE l_linenumber <> 3)
+SELECT lpad(lower(hex(job_id)), 32, '0') AS job_id, arg_max(stage, rn) AS stage, CAST(arg_max(progress, rn) AS BIGINT) AS progress,
+  arg_max(status, rn) AS status, arg_max('m' || l_suppkey, rn) FILTER (l_returnflag = 'A') AS transcription_model
+FROM e GROUP BY 1""",
+)
+def s_snapshots(spark, sf_dir):
+    """Snapshots are written as JSON lines, some of them cut off, and streamed from there."""
+    snapshot = F.to_json(F.struct(
+        F.lpad(F.lower(F.hex("l_orderkey")), 32, "0").alias("job_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.when(F.col("l_linestatus") == "F", "complete").otherwise("transcribing").alias("stage"),
+        (F.col("l_quantity") * 3 - 10).alias("progress"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("status"),
+        F.when(F.col("l_returnflag") == "A", F.concat(F.lit(" m"), F.col("l_suppkey").cast("string"))).alias("transcription_model"),
+        F.format_string("%09d", F.col("l_suppkey").cast("int")).alias("alignment_model"),
+    ))
+    cut = F.when(F.col("l_linenumber") == 3, F.substring(snapshot, 1, 60)).otherwise(snapshot)
+    folder = shared_folder(spark, "snapshots")
+    fixtures.table(spark, sf_dir, "lineitem").select(cut.alias("value")).write.text(folder)
+    stream = js.read_progress_stream(spark, folder)
+    state = sj.latest_state(stream, F.struct("ts", "status", "progress", "alignment_model"))
+    return newest(drain(state, "update", "snapshot-state"), ["job_id"]).select(
+        "job_id", "stage", F.col("progress").cast("long").alias("progress"), "status", "transcription_model"
+    )
+
+
+@query(
+    "s_queue",
+    """WITH t AS (SELECT count(DISTINCT l_orderkey) AS ended FROM lineitem WHERE l_linestatus = 'F'),
+q AS (SELECT count(*) AS queued FROM orders)
+SELECT CAST(queued - ended AS BIGINT) AS busy, queued - ended >= 4 AS is_full FROM q, t""",
+)
+def s_queue(spark, sf_dir):
+    """Every order is queued once and may end several times; only its first end is taken off the backlog.
+
+    Both steps keep state, so the terminal events pass through a table."""
+    terminal = sj.terminal_once(_job_events(spark, sf_dir).select("job_id", "ts", "stage"), "20000 days")
+    folder = shared_folder(spark, "ended")
+    ended = drain(terminal, "append", "terminal").select("job_id", "ts", "stage")
+    ended.write.parquet(folder)
+    queued = _table_stream(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("queued").alias("stage"))
+    events = queued.unionByName(spark.readStream.schema(ended.schema).parquet(folder))
+    updates = drain(sj.backlog(events, 4), "update", "queue").withColumn("all", F.lit(0))
+    return newest(updates, ["all"]).drop("all")
+
+
 @query("s_sync", ORACLES["q_focus"])
 def s_sync(spark, sf_dir):
     intervals = fixtures.intervals(spark, sf_dir)

@@ -53,13 +53,15 @@ def kept_of_batch(batch: DataFrame) -> DataFrame:
 def live_sync(words: DataFrame, lines: DataFrame, bucket_seconds: float = 10.0, block_seconds: float = 600.0):
     """Batch function: playback positions (track_id, audio_time) to focus line and active words.
 
-    ``words`` and ``lines`` are static timelines.
+    ``words`` and ``lines`` are static timelines; a batch takes only its own tracks from them.
     """
 
     def sync(batch: DataFrame) -> DataFrame:
         points = batch.select("track_id", display_time(F.col("audio_time")).alias("t")).distinct()
-        focus = focus_line(words, lines, points, bucket_seconds, block_seconds)
-        active = active_at(words.select("track_id", "start", "end", "idx"), points, bucket_seconds)
+        tracks = points.select("track_id").distinct()
+        heard, shown = (df.join(tracks, "track_id", "left_semi") for df in (words, lines))
+        focus = focus_line(heard, shown, points, bucket_seconds, block_seconds)
+        active = active_at(heard.select("track_id", "start", "end", "idx"), points, bucket_seconds)
         active_words = active.groupBy("track_id", "t").agg(F.count(F.lit(1)).alias("active_words"))
         return focus.join(active_words, ["track_id", "t"], "left").withColumn(
             "active_words", F.coalesce("active_words", F.lit(0))
