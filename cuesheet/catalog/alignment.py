@@ -154,7 +154,7 @@ s AS (
   SELECT doc_id, ['none', 'ctc', 'qwen3'][1 + doc_id % 3] AS backend,
     ['auto', 'English', 'ES', 'korean', 'Auto-Detect'][1 + doc_id % 5] AS requested, lang AS detected,
     CASE WHEN doc_id % 4 = 0 THEN 'side' ELSE 'center' END AS layer, doc_id % 7 < 4 AS ok,
-    doc_id % 6 <> 0 AS has_path, (doc_id % 30) / 1e2 AS confidence, 0.7e0 + (doc_id % 10) / 30e0 AS coverage
+    doc_id % 6 <> 0 AS has_path, doc_id % 4 = 0 AND doc_id % 5 < 2 AS broken, (doc_id % 30) / 1e2 AS confidence, 0.7e0 + (doc_id % 10) / 30e0 AS coverage
   FROM documents),
 k AS (
   SELECT s.*, known.aligner_language, regexp_replace(lower(requested), '[^a-z]+', '', 'g') AS rq,
@@ -170,6 +170,7 @@ d AS (
     WHEN multi AND ok THEN 'multilingual'
     WHEN backend = 'qwen3' AND layer = 'side' THEN 'drop'
     WHEN backend = 'qwen3' AND NOT english THEN 'raw'
+    WHEN broken THEN 'raw'
     WHEN NOT has_path THEN CASE layer WHEN 'side' THEN 'drop' ELSE 'raw' END
     WHEN confidence >= CASE layer WHEN 'side' THEN 0.17e0 ELSE 0.1e0 END AND coverage >= 0.8e0 THEN 'aligned'
     WHEN layer = 'side' THEN 'drop' ELSE 'raw' END AS route,
@@ -177,7 +178,7 @@ d AS (
     WHEN NOT (multi OR (backend <> 'none' AND english)) THEN 1e0
     WHEN multi AND ok THEN 1e0
     WHEN backend = 'qwen3' AND (layer = 'side' OR NOT english) THEN 0e0
-    WHEN NOT has_path THEN 0e0 ELSE confidence END AS segment_confidence FROM f)
+    WHEN broken OR NOT has_path THEN 0e0 ELSE confidence END AS segment_confidence FROM f)
 SELECT doc_id, aligner_language, route, {duck_micro('segment_confidence', 'segment_confidence')} FROM d""",
 )
 def q_route(spark, sf_dir):
@@ -188,6 +189,7 @@ def q_route(spark, sf_dir):
         F.col("lang").alias("detected_language"),
         F.when(F.col("doc_id") % 4 == 0, "side").otherwise("center").alias("source_layer"),
         (F.col("doc_id") % 7 < 4).alias("multilingual_ok"), (F.col("doc_id") % 6 != 0).alias("has_path"),
+        ((F.col("doc_id") % 4 == 0) & (F.col("doc_id") % 5 < 2)).alias("path_error"),
         ((F.col("doc_id") % 30) / 100.0).alias("confidence"),
         (F.lit(0.7) + (F.col("doc_id") % 10) / 30.0).alias("coverage"),
         F.lit("la la").alias("aligned_text"),

@@ -152,7 +152,8 @@ def route_alignment(segments: DataFrame) -> DataFrame:
     """Where each segment's words come from, and the confidence they carry.
 
     Needs backend, requested_language, detected_language, aligner_language, source_layer,
-    multilingual_ok, has_path, confidence, coverage and aligned_text.
+    multilingual_ok, has_path, confidence, coverage and aligned_text. ``path_error``, if there, tells that the
+    token alignment itself failed: raw words stay without confidence then, also in side segments.
     """
     english = uses_english(F.col("requested_language"), F.col("detected_language"))
     multilingual = (F.col("backend") == "qwen3") & F.col("aligner_language").isNotNull()
@@ -162,11 +163,13 @@ def route_alignment(segments: DataFrame) -> DataFrame:
         F.col("confidence"), F.col("coverage"), F.col("source_layer"), F.col("aligned_text")
     )
     failed_multilingual = F.col("backend") == "qwen3"
+    broken = F.coalesce(F.col("path_error"), F.lit(False)) if "path_error" in segments.columns else F.lit(False)
     route = (
         F.when(~needed, "raw")
         .when(multilingual & F.col("multilingual_ok"), "multilingual")
         .when(failed_multilingual & side, "drop")
         .when(failed_multilingual & ~english, "raw")
+        .when(broken, "raw")
         .when(~F.col("has_path") & side, "drop")
         .when(~F.col("has_path"), "raw")
         .otherwise(accepted)
@@ -175,7 +178,7 @@ def route_alignment(segments: DataFrame) -> DataFrame:
         F.when(~needed, 1.0)
         .when(multilingual & F.col("multilingual_ok"), 1.0)
         .when(failed_multilingual & (side | ~english), 0.0)
-        .when(~F.col("has_path"), 0.0)
+        .when(broken | ~F.col("has_path"), 0.0)
         .otherwise(F.col("confidence"))
     )
     return segments.withColumn("route", route).withColumn("segment_confidence", scored)

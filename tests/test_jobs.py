@@ -47,6 +47,15 @@ def test_routes(spark, row, route, confidence):
     assert (found.route, found.segment_confidence) == (route, confidence)
 
 
+@pytest.mark.parametrize("layer", ["center", "side"])
+def test_failed_token_alignment_keeps_raw_words(spark, layer):
+    row = ("ctc", "english", "English", layer, False, True, 0.9, 1.0, "fine")
+    for error, expected in ((True, ("raw", 0.0)), (None, ("aligned", 0.9))):
+        df = spark.createDataFrame([(*row, error)], f"{ROUTE}, path_error boolean")
+        found = al.route_alignment(al.aligner_language(spark, df)).first()
+        assert (found.route, found.segment_confidence) == expected
+
+
 def test_timestamp_mapping_keeps_display_text(spark):
     raw = spark.createDataFrame(
         [(1, 0, 0, "Hello,", "lead"), (1, 0, 1, "world", "lead")],
