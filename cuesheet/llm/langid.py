@@ -11,6 +11,13 @@ the gram set, and block scores are averaged by length. Learning uses a bounded s
 ``per_language`` documents of each language, ``sample_rows`` in all, in the order of a hash of doc_id,
 and ``sample_chars`` characters of each.
 
+``keep_identified`` rejects by the model's own score. Every fourth text of each language in the sample
+stays out of the fit; those texts and their beginnings show how low the best score of clean text falls, by the number of
+distinct grams that a block has. A text is rejected if its best score is below ``REJECT``, or, where clean text of as few grams
+falls lower, below the ``LOWEST`` share of that clean text less ``SLACK``. Fewer than ``MIN_GRAMS`` distinct grams (one letter)
+name no language. So long noise and unknown languages go; of a few words only what scores below clean
+text of that size goes. If no text can stay out of the fit (no language with four texts), all texts with a letter are kept.
+
 Defined results: ``und`` with score 0 for a null text or one without letters, and for all texts if
 nothing could be learned. A null doc_id is never learned from and is not held out. Equal scores go to
 the first language in text order. Repeated rows are judged one by one. Other columns are ignored.
@@ -19,7 +26,7 @@ the first language in text order. Repeated rows are judged one by one. Other col
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -31,6 +38,7 @@ from cuesheet.llm.common import map_batches
 SLOT_BITS, BLOCK, ORDERS = 14, 1024, 3
 PER_LANGUAGE, SAMPLE_ROWS, SAMPLE_CHARS, LANDMARKS, RIDGE = 300, 3000, 8192, 256, 0.3
 MAX_LANGUAGES = 500
+REJECT, LOWEST, SLACK, MIN_GRAMS, HOLD_BACK = 0.05, 0.005, 0.05, 4, 4
 UNKNOWN = "und"
 
 
@@ -69,20 +77,33 @@ def gram_presence(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class KernelModel:
     languages: list[str]
     weights: np.ndarray  # (grams, languages)
+    limits: tuple[float, ...] = ()  # least best score by bit length of the gram count; empty without calibration
+
+    def judge(self, codes: np.ndarray) -> tuple[np.ndarray, float]:
+        """The mean score per language and the mean number of distinct grams over the blocks of some letters."""
+        total, grams = np.zeros(len(self.languages)), 0.0
+        for first in range(0, len(codes), 64 * BLOCK):
+            present, lengths = gram_presence(codes[first:first + 64 * BLOCK])
+            sizes = present.sum(1, dtype=np.int64)
+            norm = np.sqrt(np.maximum(sizes, 1))
+            total += ((present.astype(np.float32) @ self.weights) / norm[:, None] * lengths[:, None]).sum(0)
+            grams += float((sizes * lengths).sum())
+        return total / len(codes), grams / len(codes)
 
     def scores(self, text: str | None) -> np.ndarray | None:
         """One mean score per language, or None where there is no letter or no model."""
         if not text or not self.languages:
             return None
         codes = _codes(text)
-        if not len(codes):
-            return None
-        total = np.zeros(len(self.languages))
-        for first in range(0, len(codes), 64 * BLOCK):
-            present, lengths = gram_presence(codes[first:first + 64 * BLOCK])
-            norm = np.sqrt(np.maximum(present.sum(1, dtype=np.int64), 1))
-            total += ((present.astype(np.float32) @ self.weights) / norm[:, None] * lengths[:, None]).sum(0)
-        return total / len(codes)
+        return self.judge(codes)[0] if len(codes) else None
+
+    def recognises(self, text: str | None) -> bool:
+        """Whether a text has letters and its best score is not below the limit for its number of grams."""
+        codes = _codes(text or "")
+        if not len(codes) or not self.limits:
+            return len(codes) > 0
+        scores, grams = self.judge(codes)
+        return grams >= MIN_GRAMS and bool(scores.max() >= self.limits[min(int(grams).bit_length(), len(self.limits) - 1)])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         scores = self.scores(text)
@@ -123,6 +144,32 @@ def fit(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     return KernelModel(languages, weights.astype(np.float32))
 
 
+def fit_with_limits(samples: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
+    """A model of all texts but every ``HOLD_BACK``-th of each language, with score limits from those that it has not seen."""
+    seen: dict[str, int] = {}
+    learned, clean = [], []
+    for text, language in samples:
+        seen[language] = seen.get(language, 0) + 1
+        (learned if seen[language] % HOLD_BACK else clean).append((text, language))
+    model = fit(learned, landmarks, ridge)
+    best: dict[int, list[float]] = {}
+    for text, _ in clean if model.languages else ():
+        codes = _codes(text)
+        # the whole text and its beginnings, so that there is clean text of every size
+        for size in {min(len(codes), 1 << power) for power in range(2, 31)} - {0}:
+            scores, grams = model.judge(codes[:size])
+            best.setdefault(int(grams).bit_length(), []).append(float(scores.max()))
+    if not best:
+        return model
+    limits = []
+    for power in range(max(best) + 1):
+        low = sorted(best.get(power, []))
+        # sizes that no clean text has take the limit of the next smaller one
+        limits.append(min(REJECT, low[int(LOWEST * len(low))] - SLACK) if low else limits[-1] if limits else -np.inf)
+    # more grams never lower the limit
+    return replace(model, limits=tuple(float(x) for x in np.minimum.accumulate(limits[::-1])[::-1]))
+
+
 def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -166,13 +213,14 @@ def identify(docs: DataFrame, model: KernelModel | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: KernelModel | None = None) -> DataFrame:
-    """The rows whose text has a recognisable language, all columns as they came."""
-    model = model or fit(training_sample(docs))
+    """The rows whose text the model recognises, all columns as they came. A model without limits rejects
+    only texts without letters."""
+    model = model or fit_with_limits(training_sample(docs))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [sent.value.predict(text)[0] != UNKNOWN for text in batch.column("text").to_pylist()]
+            keep = [sent.value.recognises(text) for text in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

@@ -136,6 +136,25 @@ def test_languages_held_out(spark):
     assert rows.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_languages_reject_noise_and_unknown_languages(spark):
+    """The stage rejects by the model's score; clean documents, also held-out and short ones, pass."""
+    sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    dice = random.Random(9)
+    noise = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(size)) for size in (200, 1000, 5000, 70_000)]
+    unknown = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+        "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны "
+        "поступать в отношении друг друга в духе братства."]
+    bad = [(-1 - n, t, None) for n, t in enumerate(noise + unknown + ["### x 12 %% 34", "q"])]
+    kept = {r.doc_id for r in langid.keep_identified(sample.unionByName(spark.createDataFrame(bad, sample.schema))).collect()}
+    assert not [i for i in kept if i < 0]
+    assert len(kept) >= 0.99 * sample.count()
+    # without a label nothing can be rejected but what has no letter
+    blank = spark.createDataFrame(bad + [(1, "12 %%", None)], sample.schema)
+    assert langid.keep_identified(blank).count() == len(bad)
+
+
 def word_list(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
