@@ -15,9 +15,11 @@ is within 4.5 standard deviations of the threshold.
 
 Defined results: A-Z is lower-cased; words are runs of characters other than space and U+0009-000D;
 with fewer than five words the whole sequence is the only shingle; a null or wordless text has an
-empty set, is linked with nothing and kept. A row with a null doc_id can be a copy but names no
-component; alone it is kept with a null component. Repeated rows share their component. Other
-columns are ignored.
+empty set, is linked with nothing and kept. A row with a null doc_id is compared like any other but names no
+component; without a row with an id its component is null. Repeated rows share their component. Other
+columns are ignored. ``near_duplicates`` judges ids: ``kept`` says whether a row has its component's id. ``keep_one``
+judges rows by a stored key: exactly one row of each component stays, the one with the smallest doc_id (nulls
+last), then digest, then key, so null and repeated ids do not matter.
 """
 
 from __future__ import annotations
@@ -143,7 +145,7 @@ def not_too_different(percent: int) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, bits, parity) of every row; digest stands for the set."""
+    """(row, doc_id, n_shingles, digest, bands, bits, parity) of every row; digest stands for the set."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,32 +160,26 @@ def sketches(docs: DataFrame) -> DataFrame:
                 bits.append(None if low is None else packed_bits(low))
                 parity.append(None if low is None else parity_bits(shingles))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, kind), pa.array(bits, kind), pa.array(parity, kind)],
-                names=["doc_id", "n_shingles", "digest", "bands", "bits", "parity"])
+                [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, kind), pa.array(bits, kind), pa.array(parity, kind)],
+                names=["row", "doc_id", "n_shingles", "digest", "bands", "bits", "parity"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, run, "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>, parity array<long>")
+    rows = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(rows, run, "row long, doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>, parity array<long>")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id, digest); shingles are sorted 64-bit hashes as bytes."""
-    ids = wanted.select(F.col("doc_id").alias("id"), F.col("node"), F.col("digest"))
+    """(node, shingles) of the wanted (node, row); shingles are sorted 64-bit hashes as bytes."""
+    ids = wanted.select("row", "node")
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for node, digest, text in zip(*(batch.column(n).to_pylist() for n in ("node", "digest", "text"))):
-                shingles = shingle_set(text)
-                # rows may repeat a doc_id with another text
-                if hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() == digest:
-                    nodes.append(node)
-                    sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [shingle_set(text).tobytes() for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).select("node", "digest", "text")
-    return map_batches(rows, run, "node long, shingles binary").dropDuplicates(["node"])
+    rows = docs.select("row", "text").join(ids, "row").select("node", "text")
+    return map_batches(rows, run, "node long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -202,13 +198,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row."""
+def _labelled(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of a stored table (row, doc_id, text), and (digest, place, label) of each distinct set that is not
+    empty; place is the first (unnamed, doc_id, digest, row) of the set's rows."""
     all_rows = stage(sketches(docs), "sketches")
     # equal sets become one node; numbers are given while the table is written
     nodes = stage(
-        all_rows.filter("n_shingles > 0 and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("parity").alias("parity"))
+        all_rows.filter("n_shingles > 0").groupBy("digest")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest", "row")).alias("place"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("parity").alias("parity"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     # stored, so that joins with them can split a bucket that very many nodes share
@@ -226,7 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = stage(ends(stars).filter(alike).select("a", "b"), "pairs")
     wanted = nodes.join(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "node", "left_semi")
-    links = stage(_confirmed(stars, stage(_full_sets(docs, wanted.select("node", "doc_id", "digest")), "sets"), percent), "links")
+    links = stage(_confirmed(stars, stage(_full_sets(docs, wanted.select("node", "place.row")), "sets"), percent), "links")
     labels = components(links)
 
     # nodes of one bucket that the stars left in different components
@@ -240,13 +237,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = stage(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
     wanted = nodes.join(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct(), "node", "left_semi")
-    more = _confirmed(rest, stage(_full_sets(docs, wanted.select("node", "doc_id", "digest")), "sets"), percent)
+    more = _confirmed(rest, stage(_full_sets(docs, wanted.select("node", "place.row")), "sets"), percent)
     links = stage(links.union(more), "links")
 
     labels = components(links)
-    classes = nodes.select("node", "digest", F.col("doc_id").alias("class_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = stage(classes.select("digest", "class_id", "label"), "classes")
-    lowest = classes.groupBy("label").agg(F.min("class_id").alias("component"))
+    classes = nodes.select("node", "digest", "place").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return all_rows, stage(classes.select("digest", "place", "label"), "classes")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row."""
+    all_rows, classes = _labelled(stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows"), percent)
+    lowest = classes.groupBy("label").agg(F.min("place.doc_id").alias("component"))
     named = classes.join(lowest, "label").select("digest", "component")
     return all_rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
@@ -254,7 +256,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, all columns as they came. Rows that repeat a doc_id are one document."""
-    gone = stage(near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct(), "dropped")
-    sent = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(sent, docs["doc_id"] == gone["dropped_id"], "left_anti")
+    """One row of each component and all rows with empty sets, all columns as they came."""
+    key = "row"
+    while key.lower() in (c.lower() for c in docs.columns):
+        key += "_"
+    rows = stage(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    all_rows, classes = _labelled(rows.select(F.col(key).alias("row"), "doc_id", "text"), percent)
+    first = classes.groupBy("label").agg(F.min("place").alias("first"))
+    stays = classes.join(first, "label").select("digest", F.col("first.row").alias("first"))
+    gone = all_rows.filter("n_shingles > 0").select("row", "digest").join(stays, "digest").filter("row <> first")
+    gone = stage(gone.select(F.col("row").alias(key)), "dropped")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti").drop(key)

@@ -227,6 +227,23 @@ def test_near_duplicates(spark, docs, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    """Null and repeated ids: copies and near copies of null-id rows, repeats of a row, and an id shared by two texts."""
+    named, unnamed, repeated, clean = (words(seed, 120) for seed in (21, 22, 23, 24))
+    near = " ".join(["changed", *unnamed.split()[1:]])
+    rows = [(5, named), (None, named), (None, unnamed), (None, unnamed), (None, near), (7, repeated), (7, repeated), (5, clean), (9, named),
+            (None, ""), (None, None), (9, None)]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    some = [t for t in (unnamed, near) if found[None, t]]
+    assert len(some) == 1
+    assert found == Counter([(5, named), (None, some[0]), (7, repeated), (5, clean), (None, ""), (None, None), (9, None)])
+    assert {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()} == {
+        (5, 5, True), (None, 5, False), (None, None, True), (7, 7, True), (9, 5, False), (9, 9, True)}
+
+
 def test_near_duplicates_close_to_the_threshold(spark):
     """A large group of heavily edited copies, and chains whose ends are not similar."""
     dice, base, rows = random.Random(7), words(11, 90).split(), []
