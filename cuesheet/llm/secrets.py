@@ -6,7 +6,9 @@ tokens of the same texts are ordinary. A token is a further span of kind ``marko
 log-likelihood ratio, in total and per step, is high and it touches no base span.
 
 The sample is bounded: of about POOL_ROWS rows with the lowest hash of doc_id, ``sample_rows`` texts that hold a base
-match and as many others, in the order of that hash, ``sample_chars`` characters of each. All whole texts are scanned, one by one.
+match and as many others, in the order of that hash, ``sample_chars`` characters of each. If these hold fewer than
+``FEW`` base matches, the matches of all whole texts take their place, of ``sample_rows`` texts in the same order (null ids last),
+so the method is off only if no text has a match. All whole texts are scanned, one by one.
 
 Defined results: a null text is empty. Spans count code points, end exclusive, and cover the whole
 match. Without labelled random strings no markov span is added. Repeated rows are judged one by
@@ -26,7 +28,7 @@ from cuesheet.llm.common import map_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_ROWS, SAMPLE_CHARS, MIN_TOKEN, MIN_RATIO, MIN_STEP = 500, 50_000, 20, 20.0, 0.7
-POOL_ROWS = 20_000
+POOL_ROWS, FEW = 20_000, 50
 MASK = "[SECRET]"
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -72,6 +74,41 @@ def log_ratio(random: list[str], ordinary: list[str]) -> np.ndarray | None:
     return logs[0] - logs[1]
 
 
+def _tokens(text: str) -> tuple[list[str], list[str]]:
+    """Values of base matches, and the other tokens."""
+    spans = base_spans(text)
+    taken = bytearray(len(text))
+    for _, first, after, _ in spans:
+        taken[first:after] = b"\1" * (after - first)
+    return [s[3] for s in spans], [m[0] for m in ORDINARY.finditer(text) if not any(taken[m.start():m.end()])]
+
+
+def _everywhere(docs: DataFrame, sample_rows: int, sample_chars: int) -> tuple[list[str], list[str]]:
+    """The tokens of ``sample_rows`` texts that have a base match anywhere, ``sample_chars`` characters of each kind of token."""
+    def bounded(tokens: list[str]) -> list[str]:
+        found, room = [], sample_chars
+        for token in tokens:
+            found.append(token[:room])
+            room -= len(token)
+            if room <= 0:
+                break
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.string())
+        for batch in batches:
+            found = [(o, *map(bounded, _tokens(t))) for o, t in zip(batch.column("order").to_pylist(), batch.column("text").to_pylist())]
+            found = [x for x in found if x[1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], kind), pa.array([x[2] for x in found], kind)],
+                names=["order", "random", "ordinary"])
+
+    rows = docs.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("order"), "text").filter(F.col("text").rlike(_HINT))
+    rows = map_batches(rows, run, "order string, random array<string>, ordinary array<string>")
+    rows = rows.orderBy(F.col("order").asc_nulls_last(), "random", "ordinary").limit(sample_rows).collect()
+    return [t for r in rows for t in r["random"]], [t for r in rows for t in r["ordinary"]]
+
+
 def training_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """Values of base matches, and other tokens, from a bounded sample of texts, drawn from about ``POOL_ROWS`` rows."""
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
@@ -85,12 +122,11 @@ def training_sample(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_char
         F.substring("text", 1, sample_chars).alias("start"), order.alias("order"))
     random, ordinary = [], []
     for (text, _) in texts.filter("start is not null").orderBy("order", "start").limit(2 * sample_rows).collect():
-        spans = base_spans(text)
-        random += [s[3] for s in spans]
-        taken = bytearray(len(text))
-        for _, first, after, _ in spans:
-            taken[first:after] = b"\1" * (after - first)
-        ordinary += [m[0] for m in ORDINARY.finditer(text) if not any(taken[m.start():m.end()])]
+        for found, more in zip((random, ordinary), _tokens(text)):
+            found += more
+    if len(random) < FEW:
+        random, more = _everywhere(docs, sample_rows, sample_chars)
+        ordinary = ordinary or more
     return random, ordinary
 
 

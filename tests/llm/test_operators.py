@@ -333,6 +333,19 @@ def test_secrets(spark, docs, nothing):
     assert secrets.find_secrets(nothing).count() == 0 and secrets.mask_secrets(nothing).count() == 0
 
 
+@pytest.mark.parametrize("place", ["outside the pool", "null id", "late in a text"])
+def test_rare_secrets_train_the_model(spark, monkeypatch, place):
+    """One base match in a table larger than the pool, or where the first characters do not show it."""
+    monkeypatch.setattr(secrets, "POOL_ROWS", 5)
+    ids = sorted(range(200), key=lambda n: hashlib.md5(str(n).encode()).hexdigest())
+    value = "0f1e2d3c4b5a69788796a5b4c3d2e1f0"
+    rows = [(n, words(n, 20)) for n in ids]
+    rows[0 if place == "late in a text" else -1] = (
+        None if place == "null id" else ids[0 if place == "late in a text" else -1], words(1, 20_000 if place == "late in a text" else 5) + " " + value)
+    found = secrets.training_sample(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found[0] == [value] and secrets.log_ratio(*found) is not None
+
+
 def test_packing(spark, docs, nothing):
     path = public_tokenizers.path("word_bpe_49k.json")
     odd = ["İstanbul ΣΑΣ ﬁ ½ x1\x1fy áb", "<|endoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "don't.. a.b,c 12,345. ÉCLAIR,"]
