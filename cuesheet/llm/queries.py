@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, langid, neardup, packing, quality, secrets, sharding, suffixes, urlfilter, warc
+from cuesheet.llm import decontaminate, infill, langid, neardup, packing, quality, search, secrets, sharding, suffixes, urlfilter, warc
 from cuesheet.llm.common import table
 from cuesheet.plans.session import shared_folder
 
@@ -219,3 +219,41 @@ def op6_minhash(spark, sf_dir):
 @query("op7_suffix_array")
 def op7_suffix_array(spark, sf_dir):
     return suffixes.removal_digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op12_infill", """
+WITH d AS (SELECT doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) h FROM documents),
+h AS (SELECT doc_id, t, n, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) a, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) b,
+             ('0x' || substr(h, 17, 8))::BIGINT % 100 c, ('0x' || substr(h, 25, 8))::BIGINT % 100 d FROM d),
+f AS (SELECT doc_id, t, n, least(a, b) p, greatest(a, b) q,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+                  WHEN d < 20 THEN 'spm' ELSE 'psm' END form FROM h),
+c AS (SELECT doc_id, t, n, form, p, q, substr(t, 1, p) x, substr(t, p + 1, q - p) y, substr(t, q + 1) z FROM f)
+SELECT doc_id, n::BIGINT n, form, CASE WHEN form <> 'plain' THEN p END prefix_chars, CASE WHEN form <> 'plain' THEN q - p END middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) output_sha256,
+       sha256(t) restored_sha256
+FROM c
+""")
+def op12_infill(spark, sf_dir):
+    return infill.infill_digest(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query("op13_search", r"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM documents),
+asked AS (SELECT item_id, t, count(*) c FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM benchmark) GROUP BY ALL),
+lens AS (SELECT doc_id, count(*) n FROM terms GROUP BY doc_id),
+total AS (SELECT count(*) nn, sum(n)::BIGINT ll FROM lens),
+norms AS (SELECT doc_id, 75 + (25 * n * nn) // ll m FROM lens, total),
+tf AS (SELECT doc_id, t, count(*) tf FROM terms SEMI JOIN asked USING (t) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nn + 2) / (2 * df + 1)))::BIGINT w FROM (SELECT t, count(*) df FROM tf GROUP BY t), total),
+s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT score
+      FROM asked JOIN w USING (t) JOIN tf USING (t) JOIN norms USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+""")
+def op13_search(spark, sf_dir):
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"))
