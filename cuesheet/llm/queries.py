@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import decontaminate, infill, langid, neardup, packing, quality, search, secrets, sharding, suffixes, urlfilter, warc
+from cuesheet.llm import decontaminate, infill, langid, neardup, packing, quality, sanitise, search, secrets, sharding, suffixes, urlfilter, warc
 from cuesheet.llm.common import table
 from cuesheet.plans.session import shared_folder
 
@@ -257,3 +257,8 @@ FROM s WHERE score > 0 QUALIFY rank <= 20
 def op13_search(spark, sf_dir):
     index = search.build_index(table(spark, sf_dir, "documents"))
     return search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_sanitise")
+def op11_sanitise(spark, sf_dir):
+    return sanitise.personal_digest(sanitise.find_personal_data(table(spark, sf_dir, "documents")))
