@@ -1,6 +1,7 @@
 """Near-duplicate detection with b-bit MinHash.
 
-A text's set holds the hashes of its 5-word shingles. Each distinct set keeps ``BITS`` low bits of
+A text's set holds the hashes of its 5-word shingles: words are hashed by BLAKE2 to 64 bits, which, unlike
+polynomials modulo 2^64, has no known pairs of colliding words. Each distinct set keeps ``BITS`` low bits of
 each of BANDS * ROWS minima, packed into longs, and one key per band of minima. Sets that share a band key
 are candidates; bit counts of the packed signatures, corrected for chance collisions, estimate
 their similarity. A parity bit per hash slot bounds the similarity from above without error. Candidates
@@ -13,7 +14,7 @@ link that a bucket shows is lost, and large groups of copies never become all pa
 rows a pair at similarity 0.75 shares no bucket with probability 1e-6; the estimate lets pass what
 is within 4.5 standard deviations of the threshold.
 
-Defined results: A-Z is lower-cased; words are runs of characters other than space and U+0009-000D;
+Very long texts are hashed whole, and an empty table gives an empty one. Defined results: A-Z is lower-cased; words are runs of characters other than space and U+0009-000D;
 with fewer than five words the whole sequence is the only shingle; a null or wordless text has an
 empty set, is linked with nothing and kept. A row with a null doc_id is compared like any other but names no
 component; without a row with an id its component is null. Repeated rows share their component. Other
@@ -49,36 +50,33 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = _DICE.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * _U64(2) + _U64(1)
 _MULTIPLY = (_DICE.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
 _ADD = _DICE.integers(0, 1 << 32, HASHES, dtype=np.uint32)
-_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U64(33))) * _U64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> _U64(33))) * _U64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> _U64(33))
 
 
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, made as far as a text needs them."""
-    if len(_POWERS[0]) < count:
-        for at, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(1 << (count - 1).bit_length(), base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[at] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:count], _POWERS[1][:count]
+class _WordHashes(dict):
+    """64-bit BLAKE2 hashes of words, each made once while it stays in the table."""
+
+    ROOM = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.ROOM:
+            self.clear()
+        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_HASHES = _WordHashes()
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a whole text."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
+    """Sorted distinct 64-bit hashes of the shingles of a whole text. ``bytes.split`` cuts at U+0020 and U+0009-000D."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
         return np.zeros(0, dtype=np.uint64)
-    power, inverse = _powers(len(data))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + _U64(1)) * power, dtype=np.uint64)])
-    words = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    words = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
     width = min(SHINGLE, len(words))
     shingles = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for place in range(width):

@@ -436,3 +436,14 @@ def test_pipeline(spark, docs):
     assert not any(secrets.base_spans(r.text.replace(secrets.MASK, " ")) for r in after.collect())
     before, after = kept["packing"]
     assert {r.doc_id for r in after.collect()} == {r[0] for r in before}
+
+
+def test_words_that_collide_under_polynomial_hashes_stay_apart(spark):
+    """Thue-Morse words and their complements collide modulo 2^64 for every odd base from 1,024 letters on."""
+    for bits in (10, 11, 12):
+        one = "".join("ab"[n.bit_count() % 2] for n in range(1 << bits))
+        other = one.translate(str.maketrans("ab", "ba"))
+        assert neardup.shingle_set(one) != neardup.shingle_set(other)
+        rows = spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string")
+        found = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(rows).collect()} if bits == 10 else None
+        assert found in (None, {1: (1, True), 2: (2, True), 3: (1, False)})
