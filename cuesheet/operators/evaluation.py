@@ -5,10 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cuesheet.functions.edit import edit_path
+from cuesheet.functions.edit import edit_distance, edit_path
 from cuesheet.functions.numeric import round_exact
 from cuesheet.functions.text import normalize_for_evaluation, strip_space
+from cuesheet.operators.anchors import PIECE, cut_long_pairs
 from cuesheet.plans.percentiles import exact_percentiles
+from cuesheet.plans.session import stage
 
 OPERATIONS = ("match", "substitution", "deletion", "insertion")
 THRESHOLDS = {"onset_within_50ms": 0.05, "onset_within_100ms": 0.10, "onset_within_250ms": 0.25}
@@ -111,24 +113,82 @@ def aligned_pairs(pairs: DataFrame) -> DataFrame:
     ).drop("_path")
 
 
-def align(reference: DataFrame, candidates: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """One row per alignment step."""
-    found = aligned_pairs(sequence_pairs(reference, candidates, pairs))
-    return found.select(
+def pair_sizes(reference: DataFrame, candidates: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(track_id, label, n, m): tokens of both sides of each comparison."""
+    m = candidates.groupBy("track_id", "label").agg(F.count(F.lit(1)).alias("m"))
+    if pairs is not None:
+        m = pairs.select("track_id", "label").distinct().join(m, ["track_id", "label"], "left")
+    n = reference.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    return m.join(n, "track_id", "left").select("track_id", "label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+
+
+def _steps_of_pieces(reference: DataFrame, candidates: DataFrame, sizes: DataFrame, piece: int) -> DataFrame:
+    """(track_id, label, step_no, operation, ref, cand) of long pairs: their pieces are aligned in tasks of their own."""
+    pair = ["track_id", "label"]
+    cut = cut_long_pairs(reference, candidates, sizes, piece).repartition(*pair, "number")
+    found = stage(aligned_pairs(cut).select(*pair, "number", "steps"), "pieces")
+    # one row for a piece
+    lengths = found.select(*pair, "number", F.size("steps").alias("steps"))
+    first = lengths.select(*pair, "number", F.expr(
+        "coalesce(sum(steps) over (partition by track_id, label order by number rows between unbounded preceding and 1 preceding), 0)").alias("_first"))
+    each = found.join(first, [*pair, "number"]).select(*pair, "_first", F.posexplode("steps").alias("at", "step"))
+    return each.select(*pair, (F.col("_first") + F.col("at")).cast("int").alias("step_no"), "step.operation", "step.ref", "step.cand")
+
+
+def _split_pairs(reference: DataFrame, candidates: DataFrame, pairs: DataFrame | None, piece: int):
+    """Sizes of the pairs that are aligned in pieces, or None; and what selects the others."""
+    long = stage(pair_sizes(reference, candidates, pairs).filter((F.col("n") >= 2 * piece) & (F.col("m") >= 2 * piece)), "long")
+    return None if long.isEmpty() else long
+
+
+def _short(candidates: DataFrame, pairs: DataFrame | None, long: DataFrame | None):
+    if long is None:
+        return candidates, pairs
+    keys = long.select("track_id", "label")
+    others = lambda df: df.join(keys, ["track_id", "label"], "left_anti")
+    return others(candidates), None if pairs is None else others(pairs)
+
+
+def align(reference: DataFrame, candidates: DataFrame, pairs: DataFrame | None = None, piece: int = PIECE) -> DataFrame:
+    """One row per alignment step. Pairs with ``piece`` tokens twice over on both sides are cut where
+    every cheapest path passes, so their pieces are tasks of their own."""
+    long = _split_pairs(reference, candidates, pairs, piece)
+    few, named = _short(candidates, pairs, long)
+    steps = aligned_pairs(sequence_pairs(reference, few, named)).select(
         "track_id", "label", F.posexplode("steps").alias("step_no", "step")
-    ).select(
-        "track_id", "label", "step_no", "step.operation",
-        F.col("step.ref.pos").alias("ref_pos"), F.col("step.cand.pos").alias("cand_pos"),
-        F.col("step.ref").alias("ref"), F.col("step.cand").alias("cand"),
+    ).select("track_id", "label", "step_no", "step.operation", "step.ref", "step.cand")
+    if long is not None:
+        steps = steps.unionByName(_steps_of_pieces(reference, candidates, long, piece))
+    return steps.select(
+        "track_id", "label", "step_no", "operation",
+        F.col("ref.pos").alias("ref_pos"), F.col("cand.pos").alias("cand_pos"), "ref", "cand",
     )
 
 
+#: Cells of a table of characters beyond which the bit-wise distance takes over.
+CELLS = 16_000_000
+
+
+@F.pandas_udf(T.IntegerType())
+def _long_distance(reference: pd.Series, candidate: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else edit_distance(r, c) for r, c in zip(reference, candidate)], dtype="Int32")
+
+
 def character_distance(pairs: DataFrame) -> DataFrame:
-    """Reference length and edit distance in characters, tokens joined by one space."""
+    """Reference length and edit distance in characters, tokens joined by one space.
+
+    Texts that are long on both sides are compared bit-wise, without their common ends; the built-in function
+    goes through every cell.
+    """
     joined = lambda column: F.array_join(F.transform(column, lambda t: t["normalized"]), " ")
-    return pairs.withColumn("character_errors", F.levenshtein(joined("ref"), joined("cand"))).withColumn(
-        "reference_characters", F.length(joined("ref"))
-    )
+    texts = pairs.withColumn("_ref", joined("ref")).withColumn("_cand", joined("cand"))
+    texts = texts.withColumn("reference_characters", F.length("_ref"))
+    many = F.col("reference_characters").cast("long") * F.length("_cand") > CELLS
+    slow = _long_distance(F.when(many, F.col("_ref")), F.when(many, F.col("_cand")))
+    short = lambda c: F.when(many, F.lit("")).otherwise(F.col(c))
+    return texts.withColumn(
+        "character_errors", F.coalesce(slow, F.levenshtein(short("_ref"), short("_cand")))
+    ).drop("_ref", "_cand")
 
 
 def _timed(steps: DataFrame) -> DataFrame:
@@ -190,14 +250,19 @@ def _finish(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def evaluate(reference: DataFrame, candidates: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def evaluate(reference: DataFrame, candidates: DataFrame, pairs: DataFrame | None = None, piece: int = PIECE) -> DataFrame:
     """All metrics per (track, label); timing metrics are null without timed matches."""
-    found = character_distance(aligned_pairs(sequence_pairs(reference, candidates, pairs)))
-    steps = _timed(
-        found.select(
-            "track_id", "label", "character_errors", "reference_characters", F.inline("steps")
-        )
-    )
+    long = _split_pairs(reference, candidates, pairs, piece)
+    few, named = _short(candidates, pairs, long)
+    columns = ["track_id", "label", "character_errors", "reference_characters"]
+    inner = character_distance(aligned_pairs(sequence_pairs(reference, few, named))).select(*columns, F.inline("steps"))
+    if long is not None:
+        keys = long.select("track_id", "label")
+        whole = sequence_pairs(reference, candidates.join(keys, ["track_id", "label"], "left_semi"))
+        lengths = stage(character_distance(whole).select(*columns), "characters")
+        pieces = _steps_of_pieces(reference, candidates, long, piece).drop("step_no")
+        inner = inner.unionByName(pieces.join(lengths, ["track_id", "label"]))
+    steps = _timed(inner)
     half = lambda x, p: F.percentile(F.abs(x), F.lit(p))
     grouped = steps.groupBy("track_id", "label").agg(
         *_counts(), *_means(),
