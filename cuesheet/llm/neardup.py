@@ -59,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     """64-bit BLAKE2 hashes of words, each made once while it stays in the table."""
 
-    ROOM = 200_000
+    ROOM = 50_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.ROOM:
