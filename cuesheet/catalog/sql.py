@@ -60,7 +60,7 @@ raw_times AS (
   SELECT *, phrase_start + greatest(0.04e0, secs) * (prev / total) AS f,
          phrase_start + greatest(0.04e0, secs) * (cum / total) AS t FROM shared),
 words AS (
-  SELECT track_id, phrase * 100000 + pos AS word_no, text, {rounded('f')} AS start,
+  SELECT track_id, phrase * 4294967296 + pos AS word_no, text, {rounded('f')} AS start,
          {rounded('t')} AS "end", kind, phrase
   FROM raw_times)"""
 
@@ -93,7 +93,7 @@ grouped AS (
   FROM step GROUP BY track_id, kind, line_rn),
 lines AS (
   SELECT *, row_number() OVER (PARTITION BY track_id
-           ORDER BY start, kind <> 'lead', "end", first_word) - 1 AS line_no
+           ORDER BY start, kind <> 'lead', first_end, first_word) - 1 AS line_no
   FROM grouped)"""
 
 # Events as time intervals in seconds since 2024-01-01; probe times every six hours.

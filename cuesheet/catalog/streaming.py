@@ -17,6 +17,8 @@ from cuesheet.streaming import jobs as sj, words as sw
 from cuesheet.streaming.sinks import drain, newest
 
 DAY = 86400.0
+#: Hours; the tables spread the events of a job over years.
+TEN_YEARS = 24 * 3653
 
 
 def _table_stream(spark, sf_dir, name):
@@ -67,27 +69,64 @@ def s_latest(spark, sf_dir):
     )
 
 
-@query("s_terminal", f"WITH {_EVENTS} SELECT DISTINCT job_id, stage FROM e WHERE stage <> 'transcribing'")
+def _arriving(spark, events, name, days=1300, late=20):
+    """Events in several micro-batches of ``days`` each, every event up to ``late`` days late. A last event far in the future
+    lets the watermark pass all others."""
+    folder = shared_folder(spark, name)
+    days_on = F.datediff("ts", F.lit("1992-01-01")) + F.pmod(F.xxhash64("job_id", "ts"), F.lit(late))
+    marked = stage(events.withColumn("slice", F.floor(days_on / days).cast("int")), name)
+    last = spark.range(1).select(*[
+        (F.lit(-1) if f.name == "job_id" else F.lit("2200-01-01").cast("timestamp") if f.name == "ts" else F.lit("complete") if f.name == "stage" else F.lit(0))
+        .cast(f.dataType).alias(f.name) for f in events.schema])
+    for number in range(marked.agg(F.max("slice")).first()[0] + 1):
+        marked.filter(F.col("slice") == number).drop("slice").coalesce(1).write.mode("append").parquet(folder)
+    last.write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _mixed_ends(spark, sf_dir):
+    """Line items as job events: a job can end several times, with different stages, in mixed order."""
+    items = fixtures.table(spark, sf_dir, "lineitem")
+    number, status = F.col("l_linenumber"), F.col("l_linestatus")
+    return items.select(
+        F.col("l_orderkey").alias("job_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.when((number % 3 != 0) | (status == "F"), F.when(number % 2 == 0, "complete").otherwise("error")).otherwise("transcribing").alias("stage"),
+        number.alias("no"),
+    )
+
+
+_MIXED = """
+e AS (SELECT l_orderkey AS job_id, l_shipdate AS ts, l_linenumber AS no,
+        CASE WHEN l_linenumber % 3 <> 0 OR l_linestatus = 'F' THEN CASE l_linenumber % 2 WHEN 0 THEN 'complete' ELSE 'error' END ELSE 'transcribing' END AS stage
+      FROM lineitem)"""
+
+
+@query(
+    "s_terminal",
+    f"""WITH {_MIXED}
+SELECT job_id, arg_min(stage, struct_pack(t := ts, n := no, s := stage)) AS stage, CAST(epoch_us(min(ts)) // 1000000 AS BIGINT) AS ended
+FROM e WHERE stage <> 'transcribing' GROUP BY job_id""",
+)
 def s_terminal(spark, sf_dir):
-    events = _job_events(spark, sf_dir).select("job_id", "ts", "stage")
-    return drain(sj.terminal_once(events, "20000 days"), "append", "terminal").select("job_id", "stage")
+    """Ends of a job arrive late and out of order; the first by event time is the one that counts."""
+    stream = _arriving(spark, _mixed_ends(spark, sf_dir), "ends")
+    found = drain(sj.terminal_once(stream, "30 days", ["no", "stage"], TEN_YEARS), "append", "terminal").filter("job_id >= 0")
+    return found.select("job_id", "stage", F.unix_seconds("ts").alias("ended"))
 
 
 @query(
     "s_retention",
-    f"""WITH {_EVENTS},
-g AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY job_id ORDER BY rn) + INTERVAL 720 HOUR THEN 1 ELSE 0 END AS cut FROM e),
-s AS (SELECT *, sum(cut) OVER (PARTITION BY job_id ORDER BY rn) AS session FROM g)
-SELECT job_id, CAST(epoch_us(max(ts)) // 1000000 AS BIGINT) AS last_event
-FROM s GROUP BY job_id, session
-HAVING arg_max(stage, rn) <> 'transcribing'
-  AND max(ts) + INTERVAL 720 HOUR <= (SELECT max(ts) FROM e)""",
+    f"""WITH {_MIXED},
+g AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, no, stage) AS next,
+             row_number() OVER (PARTITION BY job_id ORDER BY ts, no, stage) AS rn FROM e)
+SELECT job_id, arg_min(stage, rn) AS stage, CAST(epoch_us(min(ts)) // 1000000 AS BIGINT) AS last_event
+FROM g WHERE stage <> 'transcribing' AND (next IS NULL OR next > ts + INTERVAL 720 HOUR) GROUP BY job_id""",
 )
 def s_retention(spark, sf_dir):
-    events = _job_events(spark, sf_dir).select("job_id", "ts", "stage", "at")
-    return drain(sj.retention_expiries(events, 720, order=F.col("at")), "append", "retention").select(
-        "job_id", F.unix_seconds("last_event").alias("last_event")
-    )
+    """Jobs expire once, thirty days after an end that no event of theirs followed in time."""
+    stream = _arriving(spark, _mixed_ends(spark, sf_dir), "expiring")
+    found = drain(sj.retention_expiries(stream, 720, "30 days", ["no", "stage"], TEN_YEARS), "append", "retention").filter("job_id >= 0")
+    return found.select("job_id", "stage", F.unix_seconds("last_event").alias("last_event"))
 
 
 @query(
@@ -146,9 +185,11 @@ def s_queue(spark, sf_dir):
     """Every order is queued once and may end several times; only its first end is taken off the backlog.
 
     Both steps keep state, so the terminal events pass through a table."""
-    terminal = sj.terminal_once(_job_events(spark, sf_dir).select("job_id", "ts", "stage"), "20000 days")
+    events = fixtures.table(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'").select(
+        F.col("l_orderkey").alias("job_id"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.lit("complete").alias("stage"))
+    terminal = sj.terminal_once(_arriving(spark, events, "queue-ends"), "30 days", remember_hours=TEN_YEARS)
     folder = shared_folder(spark, "ended")
-    ended = drain(terminal, "append", "terminal").select("job_id", "ts", "stage")
+    ended = drain(terminal, "append", "terminal").filter("job_id >= 0").select("job_id", "ts", "stage")
     ended.write.parquet(folder)
     queued = _table_stream(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit("queued").alias("stage"))
@@ -194,7 +235,7 @@ SELECT track_id, kind, {sql.ms('start')} AS start_ms, {sql.ms('"end"')} AS end_m
 )
 def s_lines(spark, sf_dir):
     stream = _word_stream(spark, fixtures.words(spark, sf_dir))
-    lines = drain(sw.silence_sessions(stream), "append", "stream-lines", sw.lines_of_batch)
+    lines = drain(sw.stream_lines(stream), "append", "stream-lines")
     return lines.filter(F.col("track_id") >= 0).select(
         "track_id", "kind", to_ms(F.col("start")).alias("start_ms"),
         to_ms(F.col("end")).alias("end_ms"), F.size("words").cast("long").alias("n_words"),
@@ -204,7 +245,7 @@ def s_lines(spark, sf_dir):
 @query("s_dedup", ORACLES["q_dedup"])
 def s_dedup(spark, sf_dir):
     stream = _word_stream(spark, fixtures.beats(spark, sf_dir))
-    kept = drain(sw.repeat_sessions(stream), "append", "stream-dedup", sw.kept_of_batch)
+    kept = drain(sw.stream_dedup(stream), "append", "stream-dedup")
     return kept.filter(F.col("track_id") >= 0).select(
         "track_id", "word_no", to_ms(F.col("end")).alias("end_ms")
     )

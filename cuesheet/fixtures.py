@@ -41,7 +41,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return timed.select(
         "track_id",
-        (F.col("phrase") * 100000 + F.col("pos")).cast("long").alias("word_no"),
+        (F.shiftleft(F.col("phrase").cast("long"), 32) + F.col("pos")).alias("word_no"),
         "text", "start", "end", "kind", "phrase",
     )
 

@@ -101,10 +101,12 @@ def python_float(x: Column) -> Column:
 
 def number_lines(lines: DataFrame, block_seconds: float = 600.0) -> DataFrame:
     """Line number and id by (start, lead first), numbered per track."""
-    ranked = with_block(lines, F.col("start"), block_seconds).withColumn(
-        "_rank", (F.col("kind") != "lead").cast("int")
-    )
-    order = ["start", "_rank", "end", "first_word"]
+    ranked = with_block(lines, F.col("start"), block_seconds).withColumns({
+        "_rank": (F.col("kind") != "lead").cast("int"),
+        # lines that start together stand in the order of their first words
+        "_first_end": F.element_at("words", 1)["end"],
+    })
+    order = ["start", "_rank", "_first_end", "first_word"]
     return numbered(ranked, ["track_id"], order, "line_no").select(
         "track_id",
         "line_no",

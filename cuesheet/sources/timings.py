@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuesheet.functions.text import lrc_stamp, normalize_for_evaluation, safe_title, strip_space
@@ -35,7 +37,7 @@ def read_timing_items(docs: DataFrame) -> DataFrame:
         f"CASE WHEN {_is('ARRAY', 'doc')} THEN doc WHEN {_is('ARRAY', 'words')} THEN words "
         "ELSE lines END AS items",
     )
-    view = "_timing_documents"
+    view, nested_view = (f"{name}_{uuid.uuid4().hex}" for name in ("documents", "lines"))
     parsed.createOrReplaceTempView(view)
     spark, columns = docs.sparkSession, ", ".join(keep)
     flat = spark.sql(
@@ -48,7 +50,6 @@ def read_timing_items(docs: DataFrame) -> DataFrame:
         f"{_is('ARRAY', 'try_variant_get(l.value, \"$.words\", \"variant\")')} AS good "
         f"FROM {view}, LATERAL variant_explode(items) l WHERE shape = 'lines'"
     )
-    nested_view = "_timing_lines"
     lines.createOrReplaceTempView(nested_view)
     nested = spark.sql(
         f"SELECT {columns}, line_pos, i.pos AS item_pos, "
@@ -62,6 +63,8 @@ def read_timing_items(docs: DataFrame) -> DataFrame:
             lines.filter("NOT good").select(*keep, F.lit("line").alias("problem"))
         )
     )
+    for name in (view, nested_view):  # the frames above hold their plans
+        spark.catalog.dropTempView(name)
     items = flat.unionByName(nested).selectExpr(
         *keep, "line_pos", "item_pos", "inherited", "item",
         f"{_is('STRING', 'item')} AS is_string", f"{_is('OBJECT', 'item')} AS is_object",
@@ -119,7 +122,7 @@ def read_timings(
     tokens = judged.join(bad.select("path"), "path", "left_anti").filter(F.col("normalized") != "")
     if not include_adlibs:
         tokens = tokens.filter(F.col("kind") != "adlib")
-    position = (F.col("line_pos").cast("long") * 1_000_000 + F.col("item_pos")).alias("pos")
+    position = (F.shiftleft(F.col("line_pos").cast("long"), 32) + F.col("item_pos")).alias("pos")
     return (
         tokens.select(
             *keep, position, "text", "normalized",

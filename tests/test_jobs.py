@@ -154,5 +154,5 @@ def test_streamed_lines_equal_batch_lines(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "w"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "w"))
     shape = lambda df: sorted((r.start, r.end, len(r.words)) for r in df.filter("track_id = 1").collect())
-    streamed = drain(sw.silence_sessions(stream), "append", "t-lines", sw.lines_of_batch)
+    streamed = drain(sw.stream_lines(stream), "append", "t-lines")
     assert shape(streamed) == shape(group_lines(spark.createDataFrame(rows, schema)))
