@@ -173,16 +173,14 @@ w AS (SELECT 'trust' kind, src, dst, n / sum(n) OVER (PARTITION BY src) weight F
       UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e),
 seeds AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) seed FROM (
             SELECT CASE ruling WHEN 'allow' THEN 'trust' ELSE 'distrust' END kind, host, count(*) n FROM v WHERE ruling IS NOT NULL GROUP BY ALL)),
-rank(step, kind, host, score) AS (
-  SELECT 0, kind, host, seed FROM seeds
+added(step, kind, host, score) AS (
+  SELECT 0, kind, host, 0.15 * seed FROM seeds
   UNION ALL
   SELECT step, kind, host, sum(score) FROM (
-    SELECT k.step + 1 step, k.kind, w.dst host, 0.85 * k.score * w.weight score FROM rank k JOIN w ON w.kind = k.kind AND w.src = k.host WHERE k.step < 16
-    UNION ALL
-    SELECT s.step + 1, d.kind, d.host, 0.15 * d.seed FROM (SELECT DISTINCT step FROM rank) s, seeds d WHERE s.step < 16)
+    SELECT k.step + 1 step, k.kind, w.dst host, 0.85 * k.score * w.weight score FROM added k JOIN w ON w.kind = k.kind AND w.src = k.host WHERE k.step < 128)
   GROUP BY step, kind, host),
 h AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE 0 END) t, sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) d
-      FROM rank WHERE step = 16 GROUP BY host)
+      FROM added GROUP BY host)
 SELECT page_id, v.host, path, rule, coalesce(ruling, CASE WHEN d > 0.5 * (t + d) THEN 'block' ELSE 'allow' END) verdict
 FROM v LEFT JOIN h ON h.host = v.host
 """.replace("fits('example.net', '/en/')", "(host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/')")

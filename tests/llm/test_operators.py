@@ -201,6 +201,36 @@ def test_urls(spark):
     assert urlfilter.judge_urls(pages).count() == len(rows) and urlfilter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_ranks_on_a_graph_with_long_chains(spark):
+    """Verdicts equal ranks by plain matrix products; hosts 24 hops from the only blocked one are found, and without links nothing is."""
+    import numpy as np
+
+    dice = random.Random(12)
+    hosts = ["evil.net", *[f"far{n}.com" for n in range(24)], *[f"h{n}.com" for n in range(12)], "good.org"]
+    links = [(n + 1, n) for n in range(24)] + [(dice.randrange(25, 38), dice.randrange(25, 38)) for _ in range(40)] + [(37, 26), (30, 3)]
+    html = {n: "".join(f'<a href="http://{hosts[b]}/">' for a, b in links if a == n) for n in range(len(hosts))}
+    rows = [(n, f"http://{h}/{'fr/' if h == 'good.org' else ''}", html[n]) for n, h in enumerate(hosts)]
+    found = {r.page_id: r.verdict for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), tolerance=1e-3).collect()}
+    edges = np.zeros((len(hosts),) * 2)
+    for a, b in links:
+        if a != b:
+            edges[a, b] += 1
+    scores = []
+    for matrix, seed in ((edges, 37), (edges.T, 0)):
+        share = matrix / np.maximum(matrix.sum(1, keepdims=True), 1)
+        part = total = 0.15 * np.eye(len(hosts))[seed]
+        while part.sum() >= 1e-3:
+            part = 0.85 * part @ share
+            total = total + part
+        scores.append(total)
+    trust, distrust = scores
+    expected = {n: "block" if distrust[n] > 0.5 * (trust[n] + distrust[n]) else "allow" for n in range(len(hosts))}
+    expected |= {0: "block", 37: "allow"}
+    assert found == expected and found[24] == "block"
+    bare = spark.createDataFrame([(n, u, None) for n, u, _ in rows], "page_id long, url string, html string")
+    assert {r.page_id for r in urlfilter.judge_urls(bare).collect() if r.verdict == "block"} == {0}
+
+
 def sets_of(rows):
     found = []
     for _, text, *_ in rows:
