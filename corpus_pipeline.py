@@ -3,6 +3,10 @@
 Language identification drops texts without a recognisable language; of each group of near copies
 one document stays; documents that hold a benchmark window go; secrets are masked in the text; what
 is left is packed into sequences. All stages but the last return the columns of ``documents``.
+
+Nulls, ties, repeated rows and very long texts are treated as the operators state: a null or empty text has no language and
+goes in the first stage; rows with null or repeated ids are told apart by a key of their own; very long texts pass whole. An empty
+table passes all stages as an empty one. Extra columns stay until the last stage.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ all rows, so a benchmark of any size works. The documents are never shuffled.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no
 pattern; an item with a null item_id marks words but is not listed. Items with equal texts are all
-listed. Repeated rows are judged one by one. Other columns are ignored.
+listed. Very long texts are searched whole; an empty table gives no rows, an empty benchmark no hits. Repeated rows are judged one by one. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ text of that size goes. If no text can stay out of the fit (no language with fou
 
 Defined results: ``und`` with score 0 for a null text or one without letters, and for all texts if
 nothing could be learned. A null doc_id is never learned from and is not held out. Equal scores go to
-the first language in text order. Repeated rows are judged one by one. Other columns are ignored.
+the first language in text order. Very long texts are scored whole, block by block; an empty table gives no rows. Repeated rows are judged one by one. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ neighbour's elite; the best elite of a group is its packing. Evolution stops ear
 number of bins equals the lower bound.
 
 Defined results: a null text is an empty document, one piece with the end id only. Repeated rows are
-packed one by one. Other columns are ignored. An empty table gives no rows.
+packed one by one. Very long texts are tokenized whole and cut into full sequences. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

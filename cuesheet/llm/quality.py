@@ -5,7 +5,7 @@ host; each host's failure rate is shrunk towards a beta prior fitted to all host
 whose shrunken rate is above a threshold are rejected, and that verdict is joined back.
 
 Defined results: a null text has no words and fails; a null host has no verdict of its own and
-does not count among the hosts. Repeated rows are separate documents. Other columns are ignored.
+does not count among the hosts. Very long texts are measured whole, inside their row; an empty table gives no rows and no prior. Repeated rows are separate documents. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -257,6 +257,66 @@ def op13_search(spark, sf_dir):
     return search.search(index, table(spark, sf_dir, "benchmark"))
 
 
-@query("op11_sanitise")
+_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+def _placed(source: str, keys: str, text: str, pattern: str) -> str:
+    """SQL: matches v of a pattern with their ends e inside the text."""
+    return f"""
+      SELECT {keys}, v, sum(length(g) + length(v)) OVER (PARTITION BY {keys} ORDER BY i) e FROM (
+        SELECT {keys}, unnest(f) v, unnest(p[1:len(f)]) g, generate_subscripts(f, 1) i FROM (
+          SELECT {keys}, regexp_extract_all({text}, '{pattern}') f, string_split_regex({text}, '{pattern}') p FROM {source}) WHERE len(f) > 0)"""
+
+
+@query("op11_sanitise", rf"""
+WITH d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') t FROM documents),
+found AS (
+  SELECT r, 0 kind, v, e FROM ({_placed("(SELECT * FROM d WHERE contains(t, '@'))", "r", "t", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")})
+  UNION ALL SELECT r, 1, v, e FROM ({_placed("d", "r", "t", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")})
+  UNION ALL SELECT r, 2, v, e FROM ({_placed("d", "r", "t", r"[0-9](?:[\x20-]?[0-9])+")})
+  UNION ALL SELECT r, 3, v, e FROM ({_placed("(SELECT * FROM d WHERE contains(t, '+'))", "r", "t", r"\+[0-9][\x20().0-9-]+[0-9]")})),
+digits AS (SELECT r, kind, v, e, regexp_replace(v, '[^0-9]', '', 'g') n FROM found),
+base AS (
+  SELECT r, kind, (e - length(v))::BIGINT s, e::BIGINT e,
+         CASE WHEN kind > 1 THEN n ELSE translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END entity
+  FROM digits WHERE CASE kind WHEN 0 THEN true WHEN 1 THEN regexp_full_match(v, '{_PART}(?:\.{_PART}){{3}}')
+    WHEN 2 THEN length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(string_split(reverse(n), ''),
+      lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT WHEN c::INT > 4 THEN 2 * c::INT - 9 ELSE 2 * c::INT END)) % 10 = 0
+    ELSE length(n) BETWEEN 9 AND 15 END),
+marked AS (SELECT *, max(e) OVER (PARTITION BY r ORDER BY s, kind, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe FROM base),
+runs AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s, kind, e) run FROM marked),
+edges AS (
+  SELECT r, run, a, b, t, coalesce(lag(b) OVER w, 0) lo, coalesce(lead(a) OVER w, length(t)) hi
+  FROM (SELECT r, run, min(s) a, max(e) b FROM runs GROUP BY ALL) JOIN d USING (r) WINDOW w AS (PARTITION BY r ORDER BY run)),
+contexts AS (
+  SELECT r, run, 0 side, greatest(lo, a - 64) origin, substr(t, greatest(lo, a - 64) + 1, a - greatest(lo, a - 64)) c, a - 64 > lo low, false high FROM edges
+  UNION ALL SELECT r, run, 1, b, substr(t, b + 1, least(hi, b + 64) - b), false, b + 64 < hi FROM edges),
+near AS (
+  SELECT r, run, translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') term, (origin + e - length(v))::BIGINT s, (origin + e)::BIGINT e
+  FROM ({_placed("contexts", "r, run, side", "c", _WORDS)}) JOIN contexts USING (r, run, side)
+  WHERE NOT (low AND e = length(v)) AND NOT (high AND e = length(c))),
+named AS (SELECT kind, entity, count(DISTINCT t) n_c FROM base JOIN d USING (r) GROUP BY ALL HAVING n_c >= 3),
+beside AS (SELECT r, t, kind, entity, term, n.s, n.e FROM near n JOIN runs USING (r, run) JOIN d USING (r) SEMI JOIN named USING (kind, entity)),
+pairs AS (SELECT kind, entity, term, count(DISTINCT t) n_ct FROM beside GROUP BY ALL HAVING n_ct >= 3),
+held AS (
+  SELECT term, count(*) n_t FROM (
+    SELECT DISTINCT t, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}')) term
+    FROM (SELECT DISTINCT t FROM d)) GROUP BY term),
+total AS (SELECT count(DISTINCT t) n FROM d WHERE t <> ''),
+shares AS (
+  SELECT kind, entity, term FROM pairs JOIN named USING (kind, entity) JOIN held USING (term), total
+  WHERE n_c < n AND ln(n_ct * n / (n_c * n_t)) / ln(n / n_c) >= 0.75),
+spans AS (
+  SELECT r, s, kind, e FROM base UNION ALL SELECT DISTINCT r, s, 4, e FROM beside SEMI JOIN shares USING (kind, entity, term)),
+texts AS (SELECT *, ['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || s || ':' || e x FROM spans),
+lists AS (
+  SELECT r, count(*) FILTER (kind = 0) n_email, count(*) FILTER (kind = 1) n_ip, count(*) FILTER (kind = 2) n_card, count(*) FILTER (kind = 3) n_phone,
+         string_agg(x, ',' ORDER BY s, kind, e) FILTER (kind < 4) base, string_agg(x, ',' ORDER BY s, kind, e) spans
+  FROM texts GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT n_email, coalesce(n_ip, 0)::BIGINT n_ip, coalesce(n_card, 0)::BIGINT n_card, coalesce(n_phone, 0)::BIGINT n_phone,
+       sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+FROM d LEFT JOIN lists USING (r)
+""")
 def op11_sanitise(spark, sf_dir):
     return sanitise.personal_digest(sanitise.find_personal_data(table(spark, sf_dir, "documents")))

@@ -8,7 +8,7 @@ log-likelihood ratio, in total and per step, is high and it touches no base span
 The sample is bounded: of about POOL_ROWS rows with the lowest hash of doc_id, ``sample_rows`` texts that hold a base
 match and as many others, in the order of that hash, ``sample_chars`` characters of each. If these hold fewer than
 ``FEW`` base matches, the matches of all whole texts take their place, of ``sample_rows`` texts in the same order (null ids last),
-so the method is off only if no text has a match. All whole texts are scanned, one by one.
+so the method is off only if no text has a match. All whole texts, very long ones too, are scanned one by one; an empty table gives no rows.
 
 Defined results: a null text is empty. Spans count code points, end exclusive, and cover the whole
 match. Without labelled random strings no markov span is added. Repeated rows are judged one by

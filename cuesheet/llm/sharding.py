@@ -11,7 +11,7 @@ Only DataFrame and SQL functions are used.
 
 Defined results: the key is doc_id as text, 'null' where it is null; repeated rows are separate
 rows of one key, ordered by (doc_id, checksum, size); a null text has size 1 and checksum 0. An
-empty table gives no rows. Other columns are ignored.
+empty table gives no rows; very long texts are only measured and summed up. Other columns are ignored.
 """
 
 from __future__ import annotations

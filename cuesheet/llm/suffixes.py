@@ -16,7 +16,7 @@ of LENGTH bytes or more loses all. Anchors with more than GROUP_LIMIT surroundin
 of their strings is hashed and counted instead, merged before the shuffle, which is exact as well.
 
 Defined results: a null text is empty. Texts shorter than LENGTH lose nothing. Cuts are at bytes
-and may fall inside a character. Rows are judged by text alone, so nulls and repeats of doc_id do not
+and may fall inside a character. Very long texts are read whole, in segments of ``SEGMENT`` starts; an empty table gives no rows. Rows are judged by text alone, so nulls and repeats of doc_id do not
 matter. Other columns are ignored.
 """
 

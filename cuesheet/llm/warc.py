@@ -8,6 +8,7 @@ Defined results: a null html is an empty payload; a null url leaves its header l
 ends in a url are percent-encoded; a null page_id is kept, never named by a revisit, and is a
 response. Rows that repeat the smallest page_id of a payload are all responses. Columns other
 than page_id, url and html are ignored, whatever their names. An empty table gives an empty archive.
+Very long pages are one payload row each, written whole.
 """
 
 from __future__ import annotations

@@ -324,3 +324,18 @@ def test_patterns_take_linear_time(spark):
     long = "a" * 200_000 + " " + "1" * 200_000 + " " + "a.b" * 70_000 + "@" + " 1.2.3" * 30_000 + " x@" + "y." * 100_000 + "z"
     found = as_rows(sanitise.find_personal_data(table(spark, [(1, long)])))
     assert [s[0] for s in found[0][1]] == ["email"]
+
+
+def test_sanitisation_equals_its_twin_where_terms_disclose(spark, tmp_path):
+    import duckdb
+
+    from cuesheet.llm.queries import ORACLES
+
+    rows = [r for r in personal_rows() if r[0] is not None and r[0] != 303]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    expected = connection.execute(ORACLES["op11_sanitise"]).fetchall()
+    found = sanitise.personal_digest(sanitise.find_personal_data(docs))
+    assert sorted_rows(found) == sorted(expected, key=repr) and any("term:" in r[-1] for r in expected)
