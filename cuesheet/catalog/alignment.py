@@ -338,9 +338,12 @@ def q_spoken(spark, sf_dir):
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("no"),
         F.col("l_quantity").cast("long").alias("q"), F.col("l_extendedprice").alias("price"),
     ).distinct()
+    # every third key in Arabic-Indic digits, every second price after a no-break space
+    key = F.col("k").cast("string")
     text = F.concat_ws(
-        " ", F.col("k"), F.concat("q", F.lit("%")), F.concat(F.col("no"), suffix), F.lit("for"),
-        F.concat(F.lit("$"), F.col("price").cast("string")),
+        " ", F.when(F.col("k") % 3 == 0, F.translate(key, "0123456789", "٠١٢٣٤٥٦٧٨٩")).otherwise(key),
+        F.concat("q", F.lit("%")), F.concat(F.col("no"), suffix), F.lit("for"),
+        F.concat(F.lit("$"), F.when(F.col("k") % 2 == 0, "\u00a0").otherwise(""), F.col("price").cast("string")),
     )
     return distinct.select(
         "k", "no", "q", F.rint(F.col("price") * 100).cast("long").alias("price_cents"),

@@ -97,12 +97,12 @@ def q_norm(spark, sf_dir):
         F.explode(tx.pieces(F.col("text"))).alias("piece")
     )
     distinct = found.groupBy("piece").agg(F.count(F.lit(1)).alias("uses"))
-    return distinct.select(
+    return tx.with_folded(stage(distinct, "pieces"), F.col("piece"), "folded").select(
         "piece", "uses",
-        tx.normalize_for_evaluation(F.col("piece")).alias("eval_form"),
+        tx.evaluation_form(F.col("folded")).alias("eval_form"),
         tx.normalize_for_dedup(F.col("piece")).alias("dedup_form"),
         tx.normalize_for_interjection(F.col("piece")).alias("interjection_form"),
-        tx.normalize_for_concat(F.col("piece")).alias("concat_form"),
+        tx.concat_form(F.col("folded")).alias("concat_form"),
     )
 
 

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from cuesheet.constants import ONES, ORDINAL_ONES, ORDINAL_TENS, TENS
+from cuesheet.functions.text import SPACE
 
 MARK = "ꙮ"  # a letter that stands around a recognised number until it is spelled out
 _CODES = ("0123456789.,", "abcdefghijkl")
 _CURRENCIES = {"D": "dollars", "P": "pounds", "E": "euros"}
 _NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+_BLANKS = SPACE[:-1] + "*"
+
+
+def _other_digits() -> tuple[str, str]:
+    """Decimal digits of all scripts but ASCII, and the ASCII digits of the same value."""
+    digits = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(digits), "".join(str(unicodedata.decimal(c)) for c in digits)
 
 
 def _below_hundred(n: int) -> str:
@@ -164,7 +175,7 @@ def _spell(token: Column) -> Column:
 
 
 def spoken_form(text: Column) -> Column:
-    """Letters A-Z of the text with its numbers spelled out.
+    """Letters A-Z of the text with its numbers spelled out; digits of any script count.
 
     Passes in order: currency amounts, percentages, ordinals, other numbers. A pass marks its
     matches with letters; at the end the marks are spelled out and everything else dropped.
@@ -173,8 +184,8 @@ def spoken_form(text: Column) -> Column:
         F.contains(m, F.lit("£")), "P"
     ).otherwise("E")
     passes = (
-        (rf"[$£€]\s*{_NUMBER}", currency),
-        (rf"{_NUMBER}\s*%", lambda m: F.lit("C")),
+        (rf"[$£€]{_BLANKS}{_NUMBER}", currency),
+        (rf"{_NUMBER}{_BLANKS}%", lambda m: F.lit("C")),
         (r"(?iU)\b[0-9][0-9,]*(?:st|nd|rd|th)\b", lambda m: F.lit("O")),
         (_NUMBER, lambda m: F.lit("N")),
     )
@@ -182,6 +193,7 @@ def spoken_form(text: Column) -> Column:
     def marking(pattern: str, tag):
         return lambda t: _encode(t, pattern, tag)
 
+    text = F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(text, *_other_digits())).otherwise(text)
     marked = text
     for pattern, tag in passes:
         marked = _let(marked, marking(pattern, tag))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuesheet.constants import HALLUCINATIONS
 from cuesheet.functions.numeric import round_exact
+from cuesheet.plans.dictionary import by_dictionary
 
 # Character classes: letters and all numbers count as word characters, marks do not.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -33,12 +34,28 @@ def fold_unicode(text: Column, ascii_only: bool = False) -> Column:
     return F.coalesce(folded, F.lower(text))
 
 
-def normalize_for_evaluation(text: Column, ascii_only: bool = False) -> Column:
-    folded = fold_unicode(F.coalesce(text, F.lit("")), ascii_only)
+def with_folded(df: DataFrame, text: Column, name: str, ascii_only: bool = False) -> DataFrame:
+    """Add ``name``, NFKC + casefold of ``text``. Only the distinct values beyond ASCII pass through Python."""
+    if ascii_only:
+        return df.withColumn(name, F.lower(text))
+    folded = by_dictionary(df, text, name, _nfkc_casefold, lambda value: ~value.rlike(ASCII_ONLY))
+    return folded.withColumn(name, F.coalesce(name, F.lower(text)))
+
+
+def evaluation_form(folded: Column) -> Column:
+    """The normal form for comparisons of text that is folded."""
     straight = F.regexp_replace(F.replace(folded, F.lit("’"), F.lit("'")), "_", "")
     return F.regexp_replace(straight, NOT_WORD_OR_APOSTROPHE, "")
 
 
+def concat_form(folded: Column) -> Column:
+    return F.regexp_replace(folded, NOT_WORD, "")
+
+
+def normalize_for_evaluation(text: Column, ascii_only: bool = False) -> Column:
+    return evaluation_form(fold_unicode(F.coalesce(text, F.lit("")), ascii_only))
+
+
 def normalize_for_dedup(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), NOT_WORD_OR_APOSTROPHE, "")
 
@@ -48,7 +65,7 @@ def normalize_for_interjection(text: Column) -> Column:
 
 
 def normalize_for_concat(text: Column, ascii_only: bool = False) -> Column:
-    return F.regexp_replace(fold_unicode(text, ascii_only), NOT_WORD, "")
+    return concat_form(fold_unicode(text, ascii_only))
 
 
 def strip_space(text: Column) -> Column:

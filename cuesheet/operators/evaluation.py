@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuesheet.functions.edit import edit_distance, edit_path
 from cuesheet.functions.numeric import round_exact
-from cuesheet.functions.text import normalize_for_evaluation, strip_space
+from cuesheet.functions.text import evaluation_form, strip_space, with_folded
 from cuesheet.operators.anchors import PIECE, cut_long_pairs
 from cuesheet.plans.percentiles import exact_percentiles
 from cuesheet.plans.session import stage
@@ -37,9 +37,8 @@ def evaluation_tokens(words: DataFrame, ascii_only: bool = False) -> DataFrame:
         .when(start.isNull() != end.isNull(), "only one timestamp")
         .when(end < start, "ends before it starts")
     )
-    tokens = words.withColumn("text", text).withColumn(
-        "normalized", normalize_for_evaluation(F.col("text"), ascii_only)
-    )
+    folded = with_folded(words.withColumn("text", text), F.col("text"), "normalized", ascii_only)
+    tokens = folded.withColumn("normalized", evaluation_form(F.col("normalized")))
     return tokens.filter(F.col("normalized") != "").withColumn("problem", problem)
 
 

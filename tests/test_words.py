@@ -260,3 +260,23 @@ def test_union_is_disjoint(spark):
         assert all(a.end < b.start for a, b in zip(merged, merged[1:]))
         covered = {x for _, _, s, e in rows for x in range(int(s), int(e))}
         assert sum(r.end - r.start for r in merged) == len(covered)
+
+
+def test_python_folds_distinct_values_only(spark):
+    """Casefolding beyond ASCII: the Python node stands above a distinct, and results equal the plain column."""
+    rows = [(n, ["Straße", "ÉTÉ", "plain", "ﬁn", None, "UPPER"][n % 6]) for n in range(60)]
+    df = spark.createDataFrame(rows, "n long, t string")
+    found = tx.with_folded(df, F.col("t"), "folded")
+    expected = {r.n: r.f for r in df.select("n", tx.fold_unicode(F.col("t")).alias("f")).collect()}
+    assert {r.n: r.folded for r in found.collect()} == expected and found.columns == ["n", "t", "folded"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    (at,) = [k for k, line in enumerate(plan) if "ArrowEvalPython" in line]
+    assert "Aggregate" in plan[at + 1]
+
+
+def test_numbers_in_digits_of_any_script(spark):
+    from cuesheet.functions.spoken import spoken_form
+
+    df = spark.createDataFrame([("٢١st at ５%",), ("$ १२.५",), ("21st at 5%",)], "t string")
+    forms = [r[0] for r in df.select(spoken_form(F.col("t"))).collect()]
+    assert forms == ["TWENTYFIRSTATFIVEPERCENT", "TWELVEPOINTFIVEDOLLARS", "TWENTYFIRSTATFIVEPERCENT"]
