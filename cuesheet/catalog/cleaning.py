@@ -149,7 +149,7 @@ def q_resolve(spark, sf_dir):
         F.col("phrase").alias("segment"),
         (((F.col("phrase") * 37 + F.col("track_id")) % 100) / 100.0).alias("segment_confidence"),
     )
-    return cl.resolve_overlaps(words).select(
+    return cl.resolve_overlaps(stage(words, "words")).select(
         "track_id", "word_no", to_ms(F.col("start")).alias("start_ms"),
         to_ms(F.col("end")).alias("end_ms"),
     )
