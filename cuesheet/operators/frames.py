@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cuesheet.constants import FRAME_SECONDS, SAMPLE_RATE
 from cuesheet.operators.intervals import merge_intervals
+from cuesheet.plans.folds import entry_states
 from cuesheet.plans.percentiles import exact_percentiles
 from cuesheet.plans.scan import BLOCK, Running, cut_groups, running, with_block
 from cuesheet.plans.segments import greedy_segments
@@ -196,49 +197,57 @@ def merge_regions(runs: DataFrame, sample_rate: int = SAMPLE_RATE, chunk: int |
     )
 
 
-def split_regions(regions: DataFrame, frames: DataFrame, sample_rate: int = SAMPLE_RATE):
+def split_regions(
+    regions: DataFrame, frames: DataFrame, sample_rate: int = SAMPLE_RATE, chunk_frames: int = 12_000
+):
     """Cut regions above 28.5 s at their quietest frame between 16 s and 28.5 s.
 
-    Short regions pass through; only the frames of long regions are gathered, one array per
-    region. A cut needs the frames of one search window, so the fold touches each window once.
+    Short regions pass through. A long region is read in chunks of ``chunk_frames`` frames (28.5 s or more), each with the
+    frames of one search window after it. What a chunk hands on is its first cut beyond its end; chunks start from a
+    guess and fold again where the cut before them turns out different. Cuts fall on the quietest frames, so
+    two series of cuts soon meet, and one more round usually settles all chunks.
     """
     hop = hop_of(sample_rate)
     longest = int(MAX_REGION_SECONDS * sample_rate)
     earliest = int(MIN_CUT_SECONDS * sample_rate)
     tail = int(MIN_TAIL_SECONDS * sample_rate)
+    ahead = longest // hop + 2
+    if chunk_frames < ahead:
+        raise ValueError(f"chunk_frames must be at least {ahead}")
     is_long = F.col("end") - F.col("start") > longest
     short = regions.filter(~is_long)
-    long = regions.filter(is_long)
+    long = regions.filter(is_long).withColumn("_base", F.floor(F.col("start") / hop))
 
-    per_bucket = FRAMES_PER_BLOCK
     spread = long.withColumn(
         BLOCK,
-        F.explode(
-            F.sequence(
-                F.floor(F.col("start") / hop / per_bucket), F.floor(F.col("end") / hop / per_bucket)
-            )
-        ),
+        F.explode(F.sequence(
+            F.floor(F.col("_base") / FRAMES_PER_BLOCK), F.floor(F.col("end") / hop / FRAMES_PER_BLOCK))),
     )
-    bucketed = frames.withColumn(BLOCK, F.floor(F.col("frame_no") / per_bucket))
-    gathered = (
+    bucketed = frames.select("track_id", "frame_no", "rms").withColumn(BLOCK, F.floor(F.col("frame_no") / FRAMES_PER_BLOCK))
+    within = F.col("frame_no") - F.col("_base")
+    number = F.floor(within / chunk_frames)
+    # the first frames of a chunk also end the search windows of the chunk before it
+    numbers = F.when((number > 0) & (within % chunk_frames < ahead), F.array(number - 1, number)).otherwise(F.array(number))
+    region = ["track_id", "start", "end"]
+    chunks = (
         spread.join(bucketed, ["track_id", BLOCK])
-        .filter(
-            (F.col("frame_no") >= F.floor(F.col("start") / hop))
-            & (F.col("frame_no") * hop < F.col("end"))
-        )
-        .groupBy("track_id", "start", "end")
+        .filter((within >= 0) & (F.col("frame_no") * hop < F.col("end")))
+        .select(*region, "_base", F.explode(numbers).alias("chunk"), "frame_no", "rms")
+        .groupBy(*region, "_base", "chunk")
         .agg(F.array_sort(F.collect_list(F.struct("frame_no", "rms"))).alias("levels"))
         .select(
-            "track_id", "start", "end", F.element_at("levels", 1)["frame_no"].alias("base"),
-            F.transform("levels", lambda l: l["rms"]).alias("levels"),
+            *region, "chunk", F.get("levels", F.lit(0))["frame_no"].alias("first_frame"),
+            ((F.col("_base") + (F.col("chunk") + 1) * chunk_frames) * hop).alias("until"),
+            F.transform("levels", lambda l: l["rms"]).alias("rows"),
         )
     )
+    chunks = stage(chunks, "chunks")
 
     def cut_after(start: Column) -> Column:
         low = F.floor((start + earliest) / hop)
         high = F.greatest(low + 1, F.floor((start + longest) / hop))
         window = F.slice(
-            F.col("levels"), (low - F.col("base") + 1).cast("int"), (high - low).cast("int")
+            F.col("rows"), (low - F.col("first_frame") + 1).cast("int"), (high - low).cast("int")
         )
         quiet = low + F.array_position(window, F.array_min(window)) - 1
         return F.least(F.col("end") - tail, F.greatest(start + earliest, quiet * hop))
@@ -246,22 +255,30 @@ def split_regions(regions: DataFrame, frames: DataFrame, sample_rate: int = SAMP
     def step(cuts: Column, _: Column) -> Column:
         start = F.element_at(cuts, -1)
         return F.when(
-            F.col("end") - start > longest, F.array_append(cuts, cut_after(start).cast("long"))
+            (F.col("end") - start > longest) & (start < F.col("until")),
+            F.array_append(cuts, cut_after(start).cast("long")),
         ).otherwise(cuts)
 
-    rounds = F.sequence(F.lit(1), F.ceil((F.col("end") - F.col("start")) / earliest).cast("int"))
-    cuts = F.aggregate(rounds, F.array(F.col("start").cast("long")), step)
-    pieces = gathered.withColumn("cuts", cuts).select(
-        "track_id",
-        F.explode(
-            F.transform(
-                "cuts",
-                lambda c, i: F.struct(
-                    c.alias("start"), F.coalesce(F.get("cuts", i + 1), F.col("end")).alias("end")
-                ),
-            )
-        ).alias("piece"),
-    ).select("track_id", "piece.start", "piece.end")
+    def cuts_from(entry: Column) -> Column:
+        """The cut that a chunk starts from and those it makes; the first chunk starts with its region."""
+        begin = F.when(F.col("chunk") == 0, F.col("start")).otherwise(F.col("first_frame") * hop)
+        rounds = F.sequence(F.lit(1), F.lit(chunk_frames * hop // earliest + 2))
+        return F.aggregate(rounds, F.array(F.coalesce(entry, begin).cast("long")), step)
+
+    nowhere = F.lit(None).cast("long")
+    entries = entry_states(
+        chunks, region, nowhere, lambda rows, entry: F.element_at(cuts_from(entry), -1), lambda left, first: left)
+    pieces = (
+        chunks.join(entries, [*region, "chunk"])
+        .select(*region, "chunk", "until", cuts_from(F.col("entry")).alias("cuts"))
+        .select("*", F.posexplode("cuts").alias("at", "cut"))
+        # a cut belongs to the chunk that it lies in
+        .filter((F.col("cut") < F.col("until")) & (
+            (F.col("chunk") == 0) | (F.col("cut") >= F.col("until") - chunk_frames * hop)))
+        .select(
+            "track_id", F.col("cut").alias("start"),
+            F.coalesce(F.get("cuts", F.col("at") + 1), F.col("end")).alias("end"))
+    )
     return short.unionByName(pieces).filter(F.col("end") - F.col("start") >= tail)
 
 

@@ -48,6 +48,34 @@ def test_long_regions_are_split_without_gaps(spark):
     assert all(a[1] == b[0] for a, b in zip(found, found[1:]))
 
 
+def plain_cuts(start, end, levels, hop):
+    """Pieces of one region, cut after cut at the first quietest frame of the next window."""
+    pieces = []
+    while end - start > 28.5 * RATE:
+        low = (start + 16 * RATE) // hop
+        window = levels[low:(start + 28500) // hop]
+        cut = min(end - 200, max(start + 16 * RATE, (low + int(np.argmin(window))) * hop))
+        pieces.append((start, cut))
+        start = cut
+    return pieces + ([(start, end)] if end - start >= 200 else [])
+
+
+@pytest.mark.parametrize("steps, chunk", [(3, 600), (1000, 4_000), (1, 6_000)])
+def test_long_sound_is_cut_in_chunks(spark, steps, chunk):
+    """Few distinct levels give ties; a single one never brings two series of cuts together."""
+    rng, hop = np.random.default_rng(steps), fr.hop_of(RATE)
+    spans = {1: (130, 900_077), 2: (0, 28_500), 3: (64_020, 64_020 + 28_501), None: (0, 100_000)}
+    levels = {k: rng.integers(1, steps + 1, size=end // hop + 1) / steps for k, (_, end) in spans.items()}
+    schema = "track_id long, start long, end long"
+    table = spark.createDataFrame([(k, *span) for k, span in spans.items() if k], schema)
+    frames = spark.createDataFrame(
+        [(k, i, float(v)) for k, values in levels.items() for i, v in enumerate(values)],
+        "track_id long, frame_no long, rms double")
+    expected = sorted((k, *piece) for k, (start, end) in spans.items() if k
+                      for piece in plain_cuts(start, end, levels[k], hop))
+    assert sorted(map(tuple, fr.split_regions(table, frames, RATE, chunk).collect())) == expected
+
+
 def test_noise_gives_no_region(spark):
     assert regions(spark, flat((12, 0.0002))) == []
 
