@@ -66,6 +66,7 @@ def _merge(item: Running, local: Column, carried: Column) -> Column:
 
 
 _WHOLE_KEY, _WHOLE_BLOCK = "_whole_key", "_whole_block"
+_RUN = 256
 
 
 def _whole_keys(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -185,14 +186,20 @@ def running_clamp(
         lambda acc: acc["entries"],
     )
     known = blocks.groupBy(*keys).agg(entries.alias("_e")).select(*keys, F.inline("_e"))
-    values = F.aggregate(
-        "_rows",
-        F.struct(F.col("_x").alias("x"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, r: F.struct(
-            limit(r, acc["x"] + shift).alias("x"), F.array_append(acc["out"], acc["x"]).alias("out")
-        ),
-        lambda acc: acc["out"],
+    # runs of 256 rows: appending to a run's own short array keeps a long block linear
+    known_x = lambda x, out: F.struct(x.alias("x"), out.alias("out"))
+    solve = lambda rows, x: F.aggregate(
+        rows, known_x(x, F.array().cast("array<bigint>")),
+        lambda acc, r: known_x(limit(r, acc["x"] + shift), F.array_append(acc["out"], acc["x"])),
+    )
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / _RUN).cast("int")),
+        lambda i: F.slice("_rows", i * _RUN + 1, _RUN))
+    solutions = F.aggregate(
+        runs, F.array(known_x(F.col("_x"), F.array().cast("array<bigint>"))),
+        lambda acc, rows: F.array_append(acc, solve(rows, F.element_at(acc, -1)["x"])),
     )
+    values = F.flatten(F.transform(solutions, lambda s: s["out"]))
     solved = blocks.join(known, [*keys, _WHOLE_BLOCK]).select(
         *keys, F.inline(F.arrays_zip(F.col("_rows").alias("row"), values.alias("x")))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuesheet import fixtures
 from cuesheet.operators import intervals as iv, jobs as jb
-from cuesheet.plans.scan import Running, cut_groups, following, running, with_block
+from cuesheet.plans.scan import Running, cut_groups, following, running, running_clamp, with_block
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -80,3 +80,30 @@ def test_scans_read_only_the_columns_they_need(spark):
     uploads = fixtures.jobs(spark, SF_DIR).withColumnRenamed("filename", "file_name")
     plan = jb.accepted(jb.admission(uploads)).select("job_no")._jdf.queryExecution().toString()
     assert "o_orderdate" not in plan.split("ReadSchema")[-1]
+
+
+def test_a_long_interval_does_not_multiply(spark):
+    """A year among seconds has two buckets of its own level; short ones keep the narrow buckets."""
+    year = 365 * 86400.0
+    rows = [(1, i, i * 7.5, i * 7.5 + 1 + i % 40) for i in range(400)] + [
+        (1, 400, 3.0, year), (2, 401, 10.0, 10.0), (2, 402, 30.0, 12.0), (2, 403, -5.0, 64.0)]
+    points = [(k, t) for k in (1, 2, 3) for t in (-5.0, 0.0, 3.0, 10.0, 63.999, 64.0, 1500.5, year - 1, year)]
+    intervals = spark.createDataFrame(rows, "track_id long, id long, start double, end double")
+    asked = spark.createDataFrame(points, "track_id long, t double")
+    found = iv.active_at(intervals, asked, 1.0)
+    assert sorted((r.track_id, r.t, r.id) for r in found.collect()) == sorted(
+        (k, t, i) for k, t in points for track, i, start, end in rows if track == k and start <= t < end)
+
+
+def test_clamps_run_through_long_blocks(spark):
+    """One block of 20,000 rows, against the recurrence."""
+    limits = [(7 * i % 1000 * 50, 7 * i % 1000 * 50 + i * 13 % 700) for i in range(20_000)]
+    df = spark.createDataFrame(
+        [(1, 0, i, 5, low, high, i < 19_999) for i, (low, high) in enumerate(limits)],
+        "k int, _block long, i long, first long, low long, high long, more boolean")
+    found = running_clamp(df, ["k"], ["i"], "first", "low", "high", "more", 46, "x").orderBy("i").collect()
+    x, expected = 5, []
+    for low, high in limits:
+        expected.append(x)
+        x = min(high, max(low, x + 46))
+    assert [r.x for r in found] == expected
