@@ -147,9 +147,7 @@ _KNOWN = ", ".join(
 )
 
 
-@query(
-    "q_route",
-    f"""WITH known(k, aligner_language) AS (VALUES {_KNOWN}),
+_ROUTES = f"""known(k, aligner_language) AS (VALUES {_KNOWN}),
 s AS (
   SELECT doc_id, ['none', 'ctc', 'qwen3'][1 + doc_id % 3] AS backend,
     ['auto', 'English', 'ES', 'korean', 'Auto-Detect'][1 + doc_id % 5] AS requested, lang AS detected,
@@ -178,10 +176,10 @@ d AS (
     WHEN NOT (multi OR (backend <> 'none' AND english)) THEN 1e0
     WHEN multi AND ok THEN 1e0
     WHEN backend = 'qwen3' AND (layer = 'side' OR NOT english) THEN 0e0
-    WHEN broken OR NOT has_path THEN 0e0 ELSE confidence END AS segment_confidence FROM f)
-SELECT doc_id, aligner_language, route, {duck_micro('segment_confidence', 'segment_confidence')} FROM d""",
-)
-def q_route(spark, sf_dir):
+    WHEN broken OR NOT has_path THEN 0e0 ELSE confidence END AS segment_confidence FROM f)"""
+
+
+def _routes(spark, sf_dir):
     pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % n).cast("int"))
     segments = fixtures.table(spark, sf_dir, "documents").select(
         "doc_id", pick(["none", "ctc", "qwen3"], 3).alias("backend"),
@@ -194,11 +192,47 @@ def q_route(spark, sf_dir):
         (F.lit(0.7) + (F.col("doc_id") % 10) / 30.0).alias("coverage"),
         F.lit("la la").alias("aligned_text"),
     )
-    return al.route_alignment(al.aligner_language(spark, segments)).select(
+    return al.route_alignment(al.aligner_language(spark, segments))
+
+
+@query(
+    "q_route",
+    f"""WITH {_ROUTES}
+SELECT doc_id, aligner_language, route, {duck_micro('segment_confidence', 'segment_confidence')} FROM d""",
+)
+def q_route(spark, sf_dir):
+    return _routes(spark, sf_dir).select(
         "doc_id", "aligner_language", "route", micro("segment_confidence")
     )
 
 
+@query(
+    "q_routed_words",
+    f"""WITH {_ROUTES},
+w AS (SELECT doc_id, string_split(text, ' ') AS pieces FROM documents),
+r AS (
+  SELECT doc_id, route, segment_confidence, list_transform(pieces, lambda p: CASE route
+    WHEN 'raw' THEN p WHEN 'aligned' THEN 'a' || p ELSE 'm' || p END) AS pieces
+  FROM d JOIN w USING (doc_id) WHERE route <> 'drop' AND pieces IS NOT NULL)
+SELECT doc_id AS segment_id, {duck_micro('segment_confidence', 'segment_confidence')}, len(pieces) AS n_words,
+  md5(array_to_string(pieces, ' ')) AS words_md5
+FROM r""",
+)
+def q_routed_words(spark, sf_dir):
+    """Words of the branch that each document's segment takes; dropped segments have none."""
+    routes = stage(_routes(spark, sf_dir).withColumnRenamed("doc_id", "segment_id"), "routes")
+    raw = fixtures.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("segment_id"), F.posexplode(F.split("text", " ")).alias("pos", "text"))
+    words = al.routed_words(
+        routes, raw, *[raw.withColumn("text", F.concat(F.lit(mark), "text")) for mark in ("a", "m")])
+    rows = words.groupBy("segment_id").agg(
+        F.first("segment_confidence").alias("segment_confidence"), F.count(F.lit(1)).alias("n_words"),
+        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_words"))
+    return rows.select(
+        "segment_id", micro("segment_confidence"), "n_words",
+        F.md5(F.array_join(F.transform("_words", lambda w: w["text"]), " ")).alias("words_md5"))
+
+
 @query(
     "q_segments",
     f"""WITH {sql.PHRASES},

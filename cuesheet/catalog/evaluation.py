@@ -185,3 +185,56 @@ def q_report(spark, sf_dir):
         "track_id", "label", F.concat_ws("\n", F.get(lines, F.lit(0)), F.get(lines, F.lit(1))).alias("head"),
         F.get(lines, F.lit(3)).alias("counts"), F.get(lines, F.lit(6)).alias("bias"),
     )
+
+
+@query(
+    "q_report_json",
+    f"""WITH RECURSIVE {sql.EDIT_PATHS},
+c AS (SELECT *, len(path) - len(replace(path, 'S', '')) AS ss, len(path) - len(replace(path, 'D', '')) AS dd,
+        len(path) - len(replace(path, 'I', '')) AS ii FROM best)
+SELECT track_id, label, label AS named, CAST(ss AS BIGINT) AS substitutions, CAST(dd AS BIGINT) AS deletions,
+  CAST(ii AS BIGINT) AS insertions, {duck_micro('round_even((ss + dd + ii) / n * 1e6, 0) / 1e6', 'wer')},
+  {duck_micro('round(list_avg(onsets) * 1e3, 3)', 'onset_bias_ms')}
+FROM c""",
+)
+def q_report_json(spark, sf_dir):
+    """Written as JSON report files, read back from them."""
+    folder = shared_folder(spark, "reports")
+    tm.write_report(ev.evaluate(*_tokens(spark, sf_dir)), folder, "json")
+    read = spark.read.schema("value string, track_id long").text(folder)
+    at = lambda path, kind: F.get_json_object("value", f"$.{path}").cast(kind)
+    return read.select(
+        "track_id", F.regexp_extract("value", '"label":"([^"]*)"', 1).alias("label"), at("label", "string").alias("named"),
+        *[at(f"metrics.{c}", "long").alias(c) for c in ("substitutions", "deletions", "insertions")],
+        F.rint(at("metrics.wer", "double") * 1e6).cast("long").alias("wer_micro"),
+        F.rint(at("metrics.timing.onset_bias_ms", "double") * 1e6).cast("long").alias("onset_bias_ms_micro"),
+    )
+
+
+@query(
+    "q_token_problems",
+    """WITH t AS (
+  SELECT event_id, user_id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' || event_type || ' ' WHEN 2 THEN ' - ' ELSE event_type END AS text,
+    CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN -1e0 WHEN 2 THEN 'nan'::DOUBLE ELSE event_id % 50 END AS s,
+    CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'inf'::DOUBLE ELSE event_id % 30 END AS e
+  FROM events),
+p AS (
+  SELECT event_id, user_id, trim(text) AS text, CASE
+    WHEN isnan(s) OR s < 0 THEN 'invalid start' WHEN isinf(e) THEN 'invalid end'
+    WHEN (s IS NULL) <> (e IS NULL) THEN 'only one timestamp' WHEN e < s THEN 'ends before it starts' END AS problem
+  FROM t WHERE text IS NOT NULL AND text <> ' - ')
+SELECT event_id, user_id AS track_id, text, problem, problem IS NULL AS stays FROM p""",
+)
+def q_token_problems(spark, sf_dir):
+    """What makes a token unusable, and which tokens a lenient run keeps."""
+    n, number = F.col("event_id"), lambda x: F.lit(float(x))
+    tokens = ev.evaluation_tokens(fixtures.table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("track_id"),
+        F.when(n % 6 == 1, F.concat(F.lit("  "), "event_type", F.lit(" "))).when(n % 6 == 2, " - ")
+        .when(n % 6 > 2, F.col("event_type")).alias("text"),
+        F.when(n % 7 == 1, number(-1)).when(n % 7 == 2, number("nan")).when(n % 7 > 2, (n % 50).cast("double")).alias("start"),
+        F.when(n % 5 == 1, number("inf")).when(n % 5 > 1, (n % 30).cast("double")).alias("end"),
+    ))
+    usable = ev.validated(tokens, strict=False).select("event_id", F.lit(True).alias("_usable"))
+    return tokens.join(usable, "event_id", "left").select(
+        "event_id", "track_id", "text", "problem", F.coalesce("_usable", F.lit(False)).alias("stays"))

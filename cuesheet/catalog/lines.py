@@ -150,6 +150,20 @@ def q_timeline(spark, sf_dir):
     )
 
 
+@query(
+    "q_line_timeline",
+    f"""WITH RECURSIVE {sql.LINE_STEPS},
+padded AS (SELECT track_id, line_no, kind, start - 0.03e0 AS start, "end" + 0.24e0 AS "end" FROM lines)
+SELECT track_id, line_no, kind, {sql.ms('start')} AS start_ms, {sql.ms('"end"')} AS end_ms,
+  row_number() OVER (PARTITION BY track_id ORDER BY start, "end", line_no) - 1 AS idx
+FROM padded""",
+)
+def q_line_timeline(spark, sf_dir):
+    return ln.line_timeline(stage(line_rows(spark, sf_dir), "numbered")).select(
+        "track_id", "line_no", "kind", to_ms(F.col("start")).alias("start_ms"), to_ms(F.col("end")).alias("end_ms"), "idx"
+    )
+
+
 @query(
     "q_paren",
     rf"""WITH {sql.WORDS},
