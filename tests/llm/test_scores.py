@@ -1,4 +1,5 @@
-"""Secret scans on whole documents against a second computation: hand-written scanners and counted character pairs."""
+"""Secret scans and language scores against a second computation: hand-written scanners, counted character pairs, and
+kernels of gram sets instead of matrix products."""
 
 from __future__ import annotations
 
@@ -9,9 +10,10 @@ import random
 import string
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from cuesheet.llm import secrets
+from cuesheet.llm import langid, secrets
 
 SF_DIR = "/root/testdata/sf0.001"
 LETTERS = string.ascii_letters + string.digits
@@ -123,3 +125,65 @@ def test_secret_spans_equal_a_second_computation(spark):
         assert row.spans == written(spans), row.doc_id
         seen.update(k for k, *_ in spans)
     assert all(seen[k] for k in ORDER)
+
+
+def gram_sets(text):
+    """For each block of 1,024 characters its set of hashed grams that start there, and its length."""
+    shown = "".join(c if c.isalpha() else " " for c in text.lower()).lstrip(" ")
+    while "  " in shown:
+        shown = shown.replace("  ", " ")
+    blocks = []
+    for first in range(0, len(shown), 1024):
+        slots, length = set(), min(1024, len(shown) - first)
+        for at in range(first, first + length):
+            value = 0
+            for order, char in enumerate(shown[at:at + 3], 1):
+                value = (value * 0x110003 + ord(char) + order) % 2**64
+                slots.add(value * 0x9E3779B97F4A7C15 % 2**64 >> 50)
+        blocks.append((slots, length))
+    return blocks
+
+
+def likeness(left, right):
+    return np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in right] for a in left])
+
+
+def plain_scores(samples, asked, landmarks, ridge):
+    """Mean score per language of each text: ridge regression on kernel values to landmarks, all in kernels."""
+    blocks, answers = [], []
+    for text, language in samples:
+        sets = [slots for slots, _ in gram_sets(text)]
+        sets = sets[:max(1, len(sets) - 1)]
+        blocks, answers = blocks + sets, answers + [language] * len(sets)
+    chosen = np.unique(np.linspace(0, len(blocks) - 1, min(landmarks, len(blocks))).astype(int))
+    marks = [blocks[i] for i in chosen]
+    left, sizes, right = np.linalg.svd(likeness(marks, marks))
+    root = left[:, sizes > 1e-6 * sizes.max()] / np.sqrt(sizes[sizes > 1e-6 * sizes.max()])
+    features = likeness(blocks, marks) @ root
+    languages = sorted(set(answers))
+    wanted = np.array([[1.0 if a == language else -1.0 for language in languages] for a in answers])
+    inner = np.vstack([features, math.sqrt(ridge) * np.eye(features.shape[1])])
+    learned = np.linalg.lstsq(inner, np.vstack([wanted, np.zeros((features.shape[1], len(languages)))]), rcond=None)[0]
+    scores = []
+    for text in asked:
+        sets = gram_sets(text)
+        values = likeness([slots for slots, _ in sets], marks) @ root @ learned
+        scores.append(np.average(values, axis=0, weights=[length for _, length in sets]))
+    return languages, scores
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
+def test_language_scores_equal_kernels_of_sets(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang")
+    samples = langid.training_sample(docs, per_language=15, sample_chars=2500)
+    assert len({language for _, language in samples}) > 1
+    rows = docs.filter("text is not null").orderBy("doc_id").limit(60).collect()
+    asked = [r.text for r in rows if any(c.isalpha() for c in r.text)] + ["é", "Ab, cd?! ef", "straße ﬁn " * 700]
+    model = langid.fit(samples, landmarks=40)
+    languages, expected = plain_scores(samples, asked, 40, langid.RIDGE)
+    assert model.languages == languages
+    for text, scores in zip(asked, expected):
+        assert model.scores(text) == pytest.approx(scores, abs=2e-3)
+        first, second = sorted(scores)[::-1][:2]
+        if first - second > 0.01:
+            assert model.predict(text)[0] == languages[int(np.argmax(scores))]
