@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cuesheet import fixtures
 from cuesheet.catalog import sql
 from cuesheet.catalog.registry import query
-from cuesheet.functions.numeric import to_ms
+from cuesheet.functions.numeric import to_ms, to_ppm
 from cuesheet.operators import intervals as iv
 from cuesheet.operators.cleaning import adlib_filter
 from cuesheet.plans.session import stage
@@ -177,7 +177,7 @@ def q_fill(spark, sf_dir):
     filled = iv.fill_at(words.withColumn("timing", F.when(kind > 0, units)), points)
     return filled.select(
         "track_id", "word_no", to_ms(F.col("t")).alias("t_ms"),
-        F.rint(F.col("fill") * 1e6).cast("long").alias("fill_ppm"),
+        to_ppm(F.col("fill")).alias("fill_ppm"),
     )
 
 

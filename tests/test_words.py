@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text as tx
 from cuesheet.functions.fill import word_fill_at
-from cuesheet.functions.numeric import round_exact
+from cuesheet.functions.numeric import round_exact, to_ppm
 from cuesheet.functions.spoken import spoken_form
 from cuesheet.operators import cleaning as cl, intervals as iv, lines as ln, phrases as ph
 
@@ -230,6 +230,11 @@ def test_fill(spark):
     assert values == pytest.approx([0.375, 0.5, 0.5, 1.0])
 
 
+def test_halves_of_a_millionth_go_away_from_zero(spark):
+    shares = spark.createDataFrame([(0.9828125,), (0.0000005,), (0.25,)], "x double")
+    assert [r[0] for r in shares.select(to_ppm(F.col("x"))).collect()] == [982813, 1, 250000]
+
+
 def test_interval_lookups(spark):
     rows = [(0, 0.0, 0.5), (1, 1.0, 4.0), (2, 1.5, 2.2), (3, 1.8, 2.6), (4, 9.0, 10.0)]
     table = spark.createDataFrame([(1, *r) for r in rows], "track_id int, i int, start double, end double")
