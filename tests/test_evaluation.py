@@ -126,3 +126,11 @@ def test_report(spark):
     assert "  WER: 50.00%" in text and "  S/D/I: 0/1/0" in text and "  Onset MAE / P90: n/a / n/a ms" in text
     payload = json.loads(tm.report_json(found).first().value)
     assert payload["metrics"]["timing"]["onset_mae_ms"] is None and payload["metrics"]["wer"] == 0.5
+
+
+def test_report_rounds_the_binary_value(spark):
+    """20.45 lies below its tie as a double, 54.25 and 3.125 are true ties and go to the even digit."""
+    found = ev.evaluate(tokens(spark, [("one", 1.0, 1.4)]).drop("label"), tokens(spark, [("one", 1.0, 1.4)], "c"))
+    text = tm.report_text(found.withColumns({
+        "wer": F.lit(0.03125), "onset_bias_ms": F.lit(20.45), "onset_mae_ms": F.lit(54.25)})).first().value
+    assert "  WER: 3.12%" in text and "  Onset bias: 20.4 ms" in text and "  Onset MAE / P90: 54.2 / " in text
