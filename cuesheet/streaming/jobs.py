@@ -10,7 +10,7 @@ from cuesheet.constants import (
 )
 from cuesheet.functions.numeric import clamp_progress
 from cuesheet.functions.text import strip_space
-from cuesheet.streaming.ordered import in_event_order
+from cuesheet.streaming.ordered import GROUPS, first_of_each, use_disk_state
 
 
 def latest_state(events: DataFrame, order: Column | None = None) -> DataFrame:
@@ -38,70 +38,41 @@ def _hours(hours: int) -> int:
 
 def terminal_once(
     events: DataFrame, delay: str = "1 hour", order: list[str] | None = None, remember_hours: int = 24 * 365,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """(job_id, ts, stage): the first terminal event of each job by event time, ties by ``order``. Append mode.
 
     It is sent once the watermark has passed it, so an earlier end that arrives later still wins. A job's end is remembered
-    for ``remember_hours`` of event time; until then its other ends are dropped.
+    for ``remember_hours`` of event time; until then its other ends are dropped. ``groups``: see ``first_of_each``.
     """
-    extra = [c for c in order or [] if c != "stage"]
-    ends = events.filter(F.col("stage").isin(*TERMINAL_STAGES)).select("job_id", "ts", "stage", *extra)
-
-    def fold(key: tuple, carried, due: list[tuple], watermark: int):
-        found = []
-        if carried is None and due:
-            at, stage = due[0][:2]
-            found.append((key[0], at, stage))
-            carried = (at // 1000 + remember_hours * 3_600_000,)
-        if carried is None or watermark >= carried[0]:
-            return found, None, None
-        return found, carried, carried[0]
-
-    kind = events.schema["job_id"].dataType.simpleString()
-    sent = in_event_order(ends, ["job_id"], order or ["stage"], delay, "until long", f"job_id {kind}, at long, stage string", fold)
-    return sent.select("job_id", F.timestamp_micros("at").alias("ts"), "stage")
+    use_disk_state(events.sparkSession)
+    ties = order or ["stage"]
+    ends = events.filter(F.col("stage").isin(*TERMINAL_STAGES)).withWatermark("ts", delay)
+    settled = ends.groupBy("job_id", "ts").agg(F.min_by("stage", F.struct(*ties)).alias("stage"))
+    rows = settled.select("job_id", F.unix_micros("ts").alias("at"), "stage")
+    return first_of_each(rows, "job_id", "at", remember_hours, groups).select("job_id", F.timestamp_micros("at").alias("ts"), "stage")
 
 
 def retention_expiries(
     events: DataFrame, hours: int = DEFAULT_RETENTION_HOURS, delay: str = "0 seconds",
     order: list[str] | None = None, remember_hours: int = 24 * 365,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """(job_id, stage, last_event): jobs whose last event is terminal and lies the retention back, once each. Append mode.
 
-    A timer at the end of the retention moves with every event of the job. Jobs that are not finished stay; an expired one is
-    remembered for ``remember_hours``, in which events that come after its end do not bring it back.
+    Events of a job that follow each other within the retention are one session; it ends the job if its last event is
+    terminal. Jobs that are not finished stay; an expired one is remembered for ``remember_hours``, in which events that come
+    after its end do not bring it back.
     """
-    kept = _hours(hours)
-    extra = [c for c in order or [] if c != "stage"]
-    rows = events.select("job_id", "ts", "stage", *extra)
-
-    def fold(key: tuple, carried, due: list[tuple], watermark: int):
-        last, stage, gone = carried if carried else (None, None, False)
-        found = []
-
-        def expires(now: int) -> bool:
-            return not gone and stage in TERMINAL_STAGES and now > last // 1000 + kept
-
-        for row in due:
-            if expires(row[0] // 1000):
-                found.append((key[0], stage, last))
-                gone = True
-            if not gone:
-                last, stage = row[:2]
-        if last is not None and expires(watermark):
-            found.append((key[0], stage, last))
-            gone = True
-        if gone:
-            until = last // 1000 + kept + remember_hours * 3_600_000
-            return (found, None, None) if watermark >= until else (found, (last, stage, True), until)
-        if last is None:
-            return found, None, None
-        return found, (last, stage, False), last // 1000 + kept + 1 if stage in TERMINAL_STAGES else None
-
-    kind = events.schema["job_id"].dataType.simpleString()
-    sent = in_event_order(
-        rows, ["job_id"], order or ["stage"], delay, "last long, stage string, gone boolean", f"job_id {kind}, stage string, last long", fold)
-    return sent.select("job_id", "stage", F.timestamp_micros("last").alias("last_event"))
+    use_disk_state(events.sparkSession)
+    # an event that comes exactly at the end of the retention still belongs to the session
+    gap = f"{_hours(hours)} milliseconds 1 microsecond"
+    last = F.max_by(F.struct("stage", F.unix_micros("ts").alias("at")), F.struct("ts", *(order or ["stage"]))).alias("last")
+    sessions = events.withWatermark("ts", delay).groupBy("job_id", F.session_window("ts", gap)).agg(last)
+    expired = sessions.filter(F.col("last.stage").isin(*TERMINAL_STAGES)).select(
+        "job_id", F.unix_micros(F.window_time("session_window")).alias("ended"), "last.stage", "last.at")
+    return first_of_each(expired, "job_id", "ended", remember_hours, groups).select(
+        "job_id", "stage", F.timestamp_micros("at").alias("last_event"))
 
 
 def backlog(events: DataFrame, capacity: int = DEFAULT_CAPACITY) -> DataFrame:

@@ -92,3 +92,34 @@ def test_state_of_unbroken_sound_is_small(spark, monkeypatch):
         settled += len(found)
         assert state is None or len(state[0]) <= 12
     assert settled
+
+
+def test_memory_and_the_exact_end_of_the_retention(spark, tmp_path):
+    """Ends within the memory are dropped, one after it counts again; an event at the very end of the retention is in time."""
+    batches = [
+        [("a", at(1), "complete", 0), ("a", at(30), "error", 0), (None, at(2), "complete", 1), (None, at(2), "error", 0)],
+        [("a", at(200), "complete", 0), (None, at(9), "complete", 0)],
+        [END],
+    ]
+    found = drain(sj.terminal_once(arriving(spark, str(tmp_path / "m"), EVENTS, batches), "4 hours", ["no"], 48), "append", "t-memory")
+    rows = sorted(((r.job_id, r.ts, r.stage) for r in found.collect() if r.job_id != "~"), key=str)
+    assert rows == sorted([("a", at(1), "complete"), ("a", at(200), "complete"), (None, at(2), "error")], key=str)
+    batches = [
+        [("exact", at(1), "complete", 0), ("over", at(1), "complete", 0)],
+        [("exact", at(25), "transcribing", 0), ("over", at(26), "transcribing", 0)],
+        [END],
+    ]
+    found = drain(sj.retention_expiries(arriving(spark, str(tmp_path / "x"), EVENTS, batches), 24, "30 hours", ["no"]), "append", "t-exact")
+    assert [(r.job_id, r.last_event) for r in found.filter("job_id <> '~'").collect()] == [("over", at(1))]
+
+
+def test_jobs_share_their_states(spark, tmp_path):
+    """A state for each job took a worker most of the time; the number of groups bounds the states of a batch."""
+    jobs = [(f"j{n}", at(n % 7), "complete", 0) for n in range(300)]
+    stream = arriving(spark, str(tmp_path / "p"), EVENTS, [jobs, [(j, at(50), s, n) for j, _, s, n in jobs], [END]])
+    for built in (sj.terminal_once(stream, "4 hours", ["no"], groups=3), sj.retention_expiries(stream, 24, "2 hours", ["no"], groups=3)):
+        assert "groupingAttributes" not in built.columns
+        plan = built._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithStateInPySpark" in plan and "_group" in plan
+        rows = drain(built, "append", "t-groups").filter("job_id <> '~'").collect()
+        assert sorted(r.job_id for r in rows) == sorted(j[0] for j in jobs)
