@@ -107,3 +107,13 @@ def test_clamps_run_through_long_blocks(spark):
         expected.append(x)
         x = min(high, max(low, x + 46))
     assert [r.x for r in found] == expected
+
+
+def test_rows_that_become_many_are_dealt_first(spark):
+    """Adaptive execution made one task of all tracks, whose hours or probes then filled that task's memory."""
+    from cuesheet import fixtures
+
+    events = spark.range(2000).select((F.col("id") % 400).alias("track_id"), F.col("id").cast("double").alias("start"))
+    for many, count in ((fixtures.hours(events), 400 * 720), (fixtures.probes(events), 400 * 120)):
+        sizes = [r["count"] for r in many.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == count and len(sizes) > 1 and max(sizes) < count / 2
