@@ -379,7 +379,7 @@ def q_spoken(spark, sf_dir):
         F.concat("q", F.lit("%")), F.concat(F.col("no"), suffix), F.lit("for"),
         F.concat(F.lit("$"), F.when(F.col("k") % 2 == 0, "\u00a0").otherwise(""), F.col("price").cast("string")),
     )
-    return distinct.select(
+    return distinct.withColumn("text", text).select(
         "k", "no", "q", F.rint(F.col("price") * 100).cast("long").alias("price_cents"),
-        spoken_form(text).alias("spoken"),
+        spoken_form(F.col("text")).alias("spoken"),
     )

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
-from pyspark.sql import Column, functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from cuesheet.constants import ONES, ORDINAL_ONES, ORDINAL_TENS, TENS
 from cuesheet.functions.text import SPACE
 
-MARK = "ꙮ"  # a letter that stands around a recognised number until it is spelled out
-_CODES = ("0123456789.,", "abcdefghijkl")
-_CURRENCIES = {"D": "dollars", "P": "pounds", "E": "euros"}
-_NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
+# Letters without case that stand around a recognised number until it is spelled out.
+OPEN, CLOSE = "ꙮ", "ꟷ"
+_UNITS = {"$": "dollars", "£": "pounds", "€": "euros", "C": "percent", "N": ""}
+_NUMBER = r"[0-9][0-9,]*+(?:\.[0-9]++)?+"
 _BLANKS = SPACE[:-1] + "*"
 
 
@@ -42,169 +44,87 @@ def _ordinal_below_thousand(n: int) -> str:
     return ORDINAL_TENS[n // 10 - 2] if n % 10 == 0 else TENS[n // 10 - 2] + ORDINAL_ONES[n % 10]
 
 
-def _lookup(words: list[str], index: Column) -> Column:
-    return F.get(F.split(F.lit(" ".join(words)), " "), index.cast("int"))
+_CARDINALS = [_below_thousand(n) for n in range(1000)]
+_ORDINALS = [_ordinal_below_thousand(n) for n in range(1000)]
+_TOKEN = re.compile(f"{OPEN}(.)([0-9.,]+){CLOSE}")
 
 
-def _cardinal(n: Column) -> Column:
-    return _lookup([_below_thousand(i) for i in range(1000)], n)
-
-
-def _ordinal(n: Column) -> Column:
-    return _lookup([_ordinal_below_thousand(i) for i in range(1000)], n)
-
-
-def _nine_digits(group: Column) -> Column:
+def _nine_digits(group: int) -> str:
     """Words of a group below 10**9, empty for zero."""
-    million, thousand, rest = F.floor(group / 1000000), F.floor(group / 1000) % 1000, group % 1000
-    return F.concat(
-        F.when(million > 0, F.concat(_cardinal(million), F.lit("million"))).otherwise(""),
-        F.when(thousand > 0, F.concat(_cardinal(thousand), F.lit("thousand"))).otherwise(""),
-        F.when(rest > 0, _cardinal(rest)).otherwise(""),
-    )
-
-
-def _nine_digits_ordinal(group: Column) -> Column:
-    million, thousand, rest = F.floor(group / 1000000), F.floor(group / 1000) % 1000, group % 1000
-    scaled = lambda n, name, last: F.when(
-        n > 0, F.concat(_cardinal(n), F.lit(name), F.when(last, "th").otherwise(""))
-    ).otherwise("")
-    return F.concat(
-        scaled(million, "million", (thousand == 0) & (rest == 0)),
-        scaled(thousand, "thousand", rest == 0),
-        F.when(rest > 0, _ordinal(rest)).otherwise(""),
+    million, thousand, rest = group // 1000000, group // 1000 % 1000, group % 1000
+    return (
+        (_CARDINALS[million] + "million" if million else "")
+        + (_CARDINALS[thousand] + "thousand" if thousand else "")
+        + (_CARDINALS[rest] if rest else "")
     )
 
 
-def _let(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use`` (lambdas share no subexpressions)."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _bare(digits: Column) -> Column:
-    return F.regexp_replace(digits, "^0+(?=.)", "")
+def _nine_digits_ordinal(group: int) -> str:
+    return _nine_digits(group - group % 1000) + (_ORDINALS[group % 1000] if group % 1000 else "th")
 
 
-def _groups(bare: Column) -> Column:
+def _groups(digits: str) -> list[int]:
     """Groups of nine digits, highest first."""
-    return _let(
-        F.ceil(F.length(bare) / 9).cast("int"),
-        lambda count: _let(
-            F.lpad(bare, count * 9, F.lit("0")),
-            lambda padded: F.transform(
-                F.sequence(F.lit(0), count - 1),
-                lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("bigint"),
-            ),
-        ),
-    )
+    bare = digits.lstrip("0") or "0"
+    first = len(bare) % 9 or 9
+    return [int(bare[:first]), *[int(bare[i:i + 9]) for i in range(first, len(bare), 9)]]
 
 
-def _chain(groups: Column) -> Column:
-    words = F.aggregate(
-        F.slice(groups, F.lit(2), F.size(groups)),
-        _let(F.get(groups, F.lit(0)), _nine_digits),
-        lambda acc, g: F.concat(acc, F.lit("billion"), _nine_digits(g)),
-    )
-    return _let(words, lambda w: F.when(w == "", F.lit(ONES[0])).otherwise(w))
+def _chain(groups: list[int]) -> str:
+    return "billion".join(map(_nine_digits, groups)) or ONES[0]
 
 
-def integer_words(digits: Column) -> Column:
+def integer_words(digits: str) -> str:
     """Spoken form of a digit string of any length; every group of nine counts billions."""
-    return _let(_bare(digits), lambda bare: _let(_groups(bare), _chain))
-
-
-def _ordinal_chain(groups: Column) -> Column:
-    above = F.size(groups) > 1
-    head = F.when(
-        above, F.concat(_chain(F.slice(groups, F.lit(1), F.size(groups) - 1)), F.lit("billion"))
-    ).otherwise("")
-    return _let(
-        F.element_at(groups, -1),
-        lambda last: F.when(above & (last == 0), F.concat(head, F.lit("th")))
-        .when(last == 0, F.lit(ORDINAL_ONES[0]))
-        .otherwise(F.concat(head, _nine_digits_ordinal(last))),
-    )
+    return _chain(_groups(digits))
 
 
-def ordinal_words(digits: Column) -> Column:
-    return _let(_bare(digits), lambda bare: _let(_groups(bare), _ordinal_chain))
+def ordinal_words(digits: str) -> str:
+    *above, last = _groups(digits)
+    if not above:
+        return _nine_digits_ordinal(last) if last else ORDINAL_ONES[0]
+    return _chain(above) + "billion" + _nine_digits_ordinal(last)
 
 
-def decimal_words(clean: Column) -> Column:
+def decimal_words(clean: str) -> str:
     """Digits with at most one decimal point."""
-    part = lambda n: F.split_part(clean, F.lit("."), F.lit(n))
-    digits = F.array_join(
-        F.transform(F.split(part(2), ""), lambda d: _lookup(ONES, d.cast("int"))), ""
-    )
-    return F.concat(
-        integer_words(part(1)),
-        F.when(F.contains(clean, F.lit(".")), F.concat(F.lit("point"), digits)).otherwise(""),
-    )
+    whole, point, digits = clean.partition(".")
+    return integer_words(whole) + (point and "point" + "".join([ONES[int(d)] for d in digits]))
 
 
-def _encode(text: Column, pattern: str, tag) -> Column:
-    """Replace matches by marked letters, so that later passes do not see their digits."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    around = F.split(text, pattern, -1)
-    marked = F.transform(
-        found,
-        lambda m: F.concat(
-            F.lit(MARK), tag(m),
-            F.translate(F.regexp_replace(m, "[^0-9.,]", ""), *_CODES), F.lit(MARK),
-        ),
-    )
-    pairs = F.zip_with(around, marked, lambda a, m: F.concat(a, F.coalesce(m, F.lit(""))))
-    return F.when(F.size(found) > 0, F.array_join(pairs, "")).otherwise(text)
+def _spelled(token: re.Match) -> str:
+    tag, number = token[1], token[2].replace(",", "")
+    return ordinal_words(number) if tag == "O" else decimal_words(number) + _UNITS[tag]
 
 
-def _spell(token: Column) -> Column:
-    tag = F.substring(token, 1, 1)
-    number = F.replace(
-        F.translate(F.substring(token, F.lit(2), F.length(token)), _CODES[1], _CODES[0]),
-        F.lit(","), F.lit(""),
-    )
-    unit = F.when(tag == "C", "percent")
-    for code, name in _CURRENCIES.items():
-        unit = unit.when(tag == code, name)
-    return _let(
-        number,
-        lambda n: F.when(tag == "O", ordinal_words(n)).otherwise(
-            F.concat(decimal_words(n), unit.otherwise(""))
-        ),
-    )
+@F.pandas_udf(T.StringType())
+def _spell_out(marked: pd.Series) -> pd.Series:
+    return marked.map(lambda text: None if text is None else _TOKEN.sub(_spelled, text))
 
 
-def spoken_form(text: Column) -> Column:
-    """Letters A-Z of the text with its numbers spelled out; digits of any script count.
+def _mark(text: Column, pattern: str, tag: str) -> Column:
+    """Mark what ``pattern`` finds outside of earlier marks; its one group is the number.
 
-    Passes in order: currency amounts, percentages, ordinals, other numbers. A pass marks its
-    matches with letters; at the end the marks are spelled out and everything else dropped.
+    An earlier mark is matched first and put back, with an empty mark behind it that is taken away again.
     """
-    currency = lambda m: F.when(F.contains(m, F.lit("$")), "D").when(
-        F.contains(m, F.lit("£")), "P"
-    ).otherwise("E")
-    passes = (
-        (rf"[$£€]{_BLANKS}{_NUMBER}", currency),
-        (rf"{_NUMBER}{_BLANKS}%", lambda m: F.lit("C")),
-        (r"(?iU)\b[0-9][0-9,]*(?:st|nd|rd|th)\b", lambda m: F.lit("O")),
-        (_NUMBER, lambda m: F.lit("N")),
-    )
-
-    def marking(pattern: str, tag):
-        return lambda t: _encode(t, pattern, tag)
+    found = F.regexp_replace(text, f"({OPEN}[^{CLOSE}]+{CLOSE})|{pattern}", f"$1{OPEN}{tag}$2{CLOSE}")
+    return F.replace(found, F.lit(f"{OPEN}{tag}{CLOSE}"), F.lit(""))
 
-    text = F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), F.translate(text, *_other_digits())).otherwise(text)
-    marked = text
-    for pattern, tag in passes:
-        marked = _let(marked, marking(pattern, tag))
-    token = rf"{MARK}([A-Z][a-l]+){MARK}"
 
-    def spelled(t: Column) -> Column:
-        words = F.transform(F.regexp_extract_all(t, F.lit(token), F.lit(1)), _spell)
-        around = F.split(t, token, -1)
-        return F.array_join(
-            F.zip_with(around, words, lambda a, w: F.concat(a, F.coalesce(w, F.lit("")))), ""
-        )
+def spoken_form(text: Column) -> Column:
+    """Letters A-Z of the text with its numbers spelled out; digits of any script count.
 
-    whole = F.when(text.rlike("[0-9]"), _let(marked, spelled)).otherwise(text)
+    Passes in order: currency amounts, percentages, ordinals, other numbers. A pass puts marks around its
+    matches, which later passes leave alone; at the end the marks are spelled out and everything else dropped.
+    Only texts with digits pass through Python, which spells the marks.
+    """
+    digits, values = _other_digits()
+    unusual = text.rlike(rf"[{OPEN}{CLOSE}\p{{Nd}}&&[^0-9]]")
+    ascii_digits = F.when(unusual, F.translate(text, digits + OPEN + CLOSE, values + "ƻƻ")).otherwise(text)
+    marked = F.regexp_replace(ascii_digits, rf"([$£€]){_BLANKS}({_NUMBER})", f"{OPEN}$1$2{CLOSE}")
+    # what follows a number can't be part of it, so no shorter or later part of it fits either
+    marked = _mark(marked, rf"(?<![0-9])({_NUMBER}){_BLANKS}%", "C")
+    marked = _mark(marked, r"(?iU:\b([0-9][0-9,]*+)(?:st|nd|rd|th)\b)", "O")
+    marked = _mark(marked, f"({_NUMBER})", "N")
+    whole = F.coalesce(_spell_out(F.when(text.rlike(r"\p{Nd}"), marked)), text)
     return F.regexp_replace(F.upper(whole), "[^A-Z]+", "")

@@ -196,6 +196,15 @@ def test_spoken_form(spark, text, expected):
     assert df.select(spoken_form(F.col("t"))).first()[0] == expected
 
 
+def test_spoken_marks_are_not_numbers(spark):
+    """Letters that the passes use as marks count as letters of the text, also around digits."""
+    texts = [("ꙮNabꙮ 7",), ("ꙮC7ꟷ",), ("$5O$6",), ("5%C6%",), ("1.2.3%",), ("1.2nd",), ("$٣,٠٠٠.50th",), (None,)]
+    spoken = [r[0] for r in spark.createDataFrame(texts, "t string").coalesce(1).select(spoken_form(F.col("t"))).collect()]
+    assert spoken == [
+        "NABSEVEN", "CSEVEN", "FIVEDOLLARSOSIXDOLLARS", "FIVEPERCENTCSIXPERCENT", "ONETWOPOINTTHREEPERCENT", "ONESECOND",
+        "THREETHOUSANDPOINTFIVEZERODOLLARSTH", None]
+
+
 def test_text_forms(spark):
     df = spark.createDataFrame([("  HéLLo—WORLD!  ",), ("Don’t",), ("STRASSE ß",), ("ﬁne_",)], "t string")
     forms = [r[0] for r in df.select(tx.normalize_for_evaluation(F.col("t"))).collect()]
