@@ -123,3 +123,24 @@ def test_jobs_share_their_states(spark, tmp_path):
         assert "TransformWithStateInPySpark" in plan and "_group" in plan
         rows = drain(built, "append", "t-groups").filter("job_id <> '~'").collect()
         assert sorted(r.job_id for r in rows) == sorted(j[0] for j in jobs)
+
+
+def test_tracks_share_their_states(spark, tmp_path):
+    """A state for each track cost several round trips a track; rows of a group's tracks stay apart."""
+    dice = random.Random(4)
+    rows = []
+    for track in range(40):
+        t = dice.random()
+        for i in range(12):
+            rows.append((track, i, dice.choice("ab"), round(t, 3), round(t + 0.3, 3), "lead", dice.choice([-1, 1])))
+            t += dice.choice([0.05, 0.2, 0.9])
+    order = sorted(rows, key=lambda r: r[3] + dice.random() * 2)
+    end = (-1, 0, "end", 4e6, 4e6 + 1, "lead", 0)
+    stream = arriving(spark, str(tmp_path / "s"), WORDS, [order[:200], order[200:], [end]])
+    built = sw.stream_dedup(stream, "3 seconds")
+    plan = built._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "_group" in plan
+    kept = drain(built, "append", "t-shared").filter("track_id >= 0")
+    expected = deduplicate_words(spark.createDataFrame(rows, WORDS))
+    found = [sorted(map(tuple, df.select(*expected.columns).collect()), key=str) for df in (kept, expected)]
+    assert found[0] == found[1]
