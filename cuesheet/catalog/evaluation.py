@@ -11,6 +11,7 @@ from cuesheet.functions.numeric import to_ms
 from cuesheet.operators import evaluation as ev
 from cuesheet.plans.session import shared_folder, stage
 from cuesheet.sources import timings as tm
+from cuesheet.sources.files import write_texts
 
 
 def _tokens(spark, sf_dir):
@@ -159,8 +160,7 @@ FROM cand WHERE norm <> '' AND (label = 'first' OR track_id % 5 <> 4)""",
 )
 def q_read_json(spark, sf_dir):
     folder = shared_folder(spark, "documents")
-    documents = _documents(spark, sf_dir)
-    documents.repartition("label", "track_id").write.partitionBy("label", "track_id").text(folder)
+    write_texts(_documents(spark, sf_dir), folder, ["label", "track_id"])
     tokens, _ = tm.read_timings(spark, folder)
     return tokens.select(
         "label", F.col("track_id").cast("long").alias("track_id"), "normalized",
