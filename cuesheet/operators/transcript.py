@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cuesheet.operators.cleaning import adlib_filter, deduplicate_words, polish_timings, publish_words, with_defaults
+from cuesheet.operators.cleaning import adlib_filter, deduplicate_words, polish_timings, publish_words, with_defaults, with_norm
 from cuesheet.plans.session import stage
 
 
@@ -17,6 +17,6 @@ def finish_words(placed: DataFrame) -> DataFrame:
     placed = with_defaults(placed)
     lead = placed.filter(F.col("kind") == "lead")
     adlibs = adlib_filter(placed.filter(F.col("kind") == "adlib"), lead)
-    polished = stage(polish_timings(lead.unionByName(adlibs)), "finished")
+    polished = stage(with_norm(polish_timings(lead.unionByName(adlibs))), "finished")
     kept = deduplicate_words(polished)
     return publish_words(kept.withColumnRenamed("phrase", "segment"))

@@ -12,7 +12,7 @@ def _sung(spark, tracks, n):
 
 
 def test_long_islands_without_a_track_fold_like_any_other(spark):
-    found = ln.group_lines(_sung(spark, [None, 5], 100), chunk=1).select(
+    found = ln.group_lines(_sung(spark, [None, 5], 100), chunk=17).select(
         "track_id", "start", F.size("words").alias("n")).collect()
     of = lambda track: sorted((r.start, r.n) for r in found if r.track_id == track)
     assert of(None) == of(5) and sum(n for _, n in of(5)) == 100

@@ -41,3 +41,13 @@ def test_chain_properties(spark):
     assert all(text == rows[n][0] and text != "\u2014" for n, text, start, end, _ in first)
     assert {r[0] for r in first} >= {n for n, r in enumerate(rows) if r[3] == "lead" and r[0] != "\u2014" and not any(
         q[0] == r[0] and abs(q[1] - r[1]) < 1.5 for m, q in enumerate(rows) if m != n)}
+
+
+def test_stored_normal_forms_give_the_same_words(spark):
+    from cuesheet.operators.cleaning import deduplicate_words, with_norm
+
+    rows = [(1, i, w, i * 0.1, i * 0.1 + 0.3, "lead", i, None, []) for i, w in enumerate(["Oh", "oh!", "(oh)", "-", "yeah", None, "OH"])]
+    words = spark.createDataFrame(rows, SCHEMA)
+    normed = deduplicate_words(with_norm(words))
+    assert normed.columns == words.columns
+    assert sorted(map(str, normed.collect())) == sorted(map(str, deduplicate_words(words).collect()))
