@@ -16,20 +16,21 @@ from cuesheet.streaming.ordered import GROUPS, first_of_each, use_disk_state
 def latest_state(events: DataFrame, order: Column | None = None) -> DataFrame:
     """Last snapshot of each job; blank model fields leave the earlier value. Update mode.
 
-    Everything is a ``max_by``, so each input partition sends one row per job.
+    Everything is a ``max_by``, so each input partition sends one row per job. A job's state takes some 560 bytes, so the
+    states are kept on disk.
     """
-    at = order if order is not None else F.col("ts")
-    filled = lambda c: F.nullif(strip_space(F.col(c)), F.lit(""))
-    models = [
-        F.max_by(filled(c), F.when(filled(c).isNotNull(), at)).alias(c)
-        for c in MODEL_FIELDS if c in events.columns
-    ]
-    snapshot = F.struct(
-        "stage", clamp_progress(F.col("progress")).alias("progress"), "status", "error"
+    use_disk_state(events.sparkSession)
+    models = [c for c in MODEL_FIELDS if c in events.columns]
+    # worked out once for each row, before the rows are sorted by job
+    rows = events.select(
+        "job_id", "ts", (order if order is not None else F.col("ts")).alias("_at"),
+        F.struct("stage", clamp_progress(F.col("progress")).alias("progress"), "status", "error").alias("s"),
+        *[F.nullif(strip_space(F.col(c)), F.lit("")).alias(c) for c in models],
     )
-    return events.groupBy("job_id").agg(
-        F.max_by(snapshot, at).alias("s"), F.max("ts").alias("ts"), *models
-    ).select("job_id", "ts", "s.*", *[c for c in MODEL_FIELDS if c in events.columns])
+    return rows.groupBy("job_id").agg(
+        F.max_by("s", "_at").alias("s"), F.max("ts").alias("ts"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in models],
+    ).select("job_id", "ts", "s.*", *models)
 
 
 def _hours(hours: int) -> int:

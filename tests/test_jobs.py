@@ -143,6 +143,21 @@ def test_latest_state_over_several_batches(spark, tmp_path):
     assert (state["j1"].stage, state["j1"].transcription_model, state["j2"].stage) == ("complete", "m1", "queued")
 
 
+def test_latest_state_of_one_batch_is_not_grouped_again(spark, tmp_path):
+    from cuesheet.streaming.ordered import STATE_STORE
+
+    rows = [{"job_id": f"j{n % 3}", "ts": f"2024-01-01 00:00:{n:02d}", "stage": "queued", "progress": n, "status": "s",
+             "transcription_model": "\u2003m\u00a0 " if n < 3 else "\u2003"} for n in range(9)]
+    (tmp_path / "all.json").write_text("\n".join(json.dumps(r) for r in rows) + '\n{"job_id": "j0", "ts"')
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.unset(provider)
+    state = sj.latest_state(js.read_progress_stream(spark, str(tmp_path)))
+    assert spark.conf.get(provider) == STATE_STORE  # a state for each job does not stay in memory
+    last = newest(drain(state, "update", "t-one"), ["job_id"])
+    assert "Exchange" not in last._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.job_id, r.progress, r.transcription_model) for r in last.collect()) == [("j0", 6.0, "m"), ("j1", 7.0, "m"), ("j2", 8.0, "m")]
+
+
 def test_streamed_lines_equal_batch_lines(spark, tmp_path):
     from cuesheet.operators.lines import group_lines
 

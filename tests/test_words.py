@@ -81,6 +81,15 @@ def test_units_survive_publishing(spark):
     assert timing[3].pause_before and timing[-1].fill == 1.0
 
 
+def test_spaces_are_those_of_the_class(spark):
+    spaces = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    rows = [(t,) for c in spaces for t in (c, f"{c}a{c}b{c}")] + [("",), (None,), (" \u3000\n",), ("\u2003é\U0001f600 \u0085",)]
+    df = spark.createDataFrame(rows, "t string")
+    plain = F.regexp_replace("t", rf"^{tx.SPACE}|{tx.SPACE}$", "")
+    assert df.filter(~tx.strip_space(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert df.filter(F.col("t").rlike(f"^{tx.SPACE}$")).select("t").distinct().count() == len(tx.SPACES) + 1
+
+
 def test_polish_removes_overlap_between_phrases(spark):
     df = words(spark, [("one", 1.0, 1.5, "lead", 1), ("two", 1.4, 1.8, "lead", 2)])
     first, second = collected(cl.polish_timings(df), "start")
