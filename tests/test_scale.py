@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuesheet import fixtures
 from cuesheet.operators import intervals as iv, jobs as jb
-from cuesheet.plans.scan import Running, cut_groups, following, running, running_clamp, with_block
+from cuesheet.plans.scan import Running, cut_groups, following, linked_clamp, running, running_clamp, with_block
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -109,6 +109,27 @@ def test_clamps_run_through_long_blocks(spark):
     assert [r.x for r in found] == expected
 
 
+def test_keys_of_one_block_are_solved_in_one_pass(spark):
+    """Keys of one block and of several, null keys, and rows that go on in the next Arrow batch, against the recurrence."""
+    rows = [(k, i, i % 11 * 100 + i * 17 % 61, f"w{i}") for k, count in ((1, 40), (None, 40), (2, 900), (3, 1)) for i in range(count)]
+    df = with_block(spark.createDataFrame(rows, "k int, i long, s long, t string").repartition(5), F.col("i"), 100.0)
+    bounds = lambda ahead: (F.coalesce(ahead["s"], F.lit(0)), F.coalesce(ahead["s"] + 60, F.lit(0)))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = linked_clamp(df, ["k"], ["i"], ["s"], "s", bounds, 46, "next", "x").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    expected = []
+    for k in (1, None, 2, 3):
+        mine = [r for r in rows if r[0] == k]
+        x = mine[0][2]
+        for row, after in zip(mine, [*mine[1:], None]):
+            expected.append((*row, after and after[2], x))
+            x = after and min(after[2] + 60, max(after[2], x + 46))
+    assert sorted(map(repr, expected)) == sorted(repr((r.k, r.i, r.s, r.t, r.next and r.next.s, r.x)) for r in found)
+
+
 def test_rows_that_become_many_are_dealt_first(spark):
     """Adaptive execution made one task of all tracks, whose hours or probes then filled that task's memory."""
     from cuesheet import fixtures
