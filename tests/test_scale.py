@@ -138,3 +138,15 @@ def test_rows_that_become_many_are_dealt_first(spark):
     for many, count in ((fixtures.hours(events), 400 * 720), (fixtures.probes(events), 400 * 120)):
         sizes = [r["count"] for r in many.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert sum(sizes) == count and len(sizes) > 1 and max(sizes) < count / 2
+
+
+def test_focus_gathers_no_table_at_the_driver(spark):
+    """Block summaries, levels and lines grow with the tracks; adaptive execution broadcast them while they were small when compressed."""
+    table = spark.range(900).select(
+        (F.col("id") % 30).alias("track_id"), F.col("id").alias("interval_id"),
+        F.when(F.col("id") % 5 == 0, "error").otherwise("view").alias("event_type"),
+        (F.col("id") * 1000.0).alias("start"), (F.col("id") * 1000.0 + F.col("id") % 7 * 9000.0).alias("end"))
+    points = fixtures.probes(table).select("track_id", iv.display_time(F.col("t")).alias("t"))
+    found = iv.focus_line(*fixtures.event_lines(table), points, 21600.0, 86400.0)
+    assert len(found.collect()) == 30 * 120
+    assert "Broadcast" not in plan_of(found)
