@@ -10,7 +10,7 @@ from cuesheet.constants import (
 )
 from cuesheet.functions.numeric import clamp_progress
 from cuesheet.functions.text import strip_space
-from cuesheet.streaming.ordered import GROUPS, first_of_each, use_disk_state
+from cuesheet.streaming.ordered import GROUPS, first_of_each, last_of_sessions, use_disk_state
 
 
 def latest_state(events: DataFrame, order: Column | None = None) -> DataFrame:
@@ -57,7 +57,7 @@ def terminal_once(
 def retention_expiries(
     events: DataFrame, hours: int = DEFAULT_RETENTION_HOURS, delay: str = "0 seconds",
     order: list[str] | None = None, remember_hours: int = 24 * 365,
-    groups: int = GROUPS,
+    groups: int = 4 * GROUPS,
 ) -> DataFrame:
     """(job_id, stage, last_event): jobs whose last event is terminal and lies the retention back, once each. Append mode.
 
@@ -65,15 +65,9 @@ def retention_expiries(
     terminal. Jobs that are not finished stay; an expired one is remembered for ``remember_hours``, in which events that come
     after its end do not bring it back.
     """
-    use_disk_state(events.sparkSession)
-    # an event that comes exactly at the end of the retention still belongs to the session
-    gap = f"{_hours(hours)} milliseconds 1 microsecond"
-    last = F.max_by(F.struct("stage", F.unix_micros("ts").alias("at")), F.struct("ts", *(order or ["stage"]))).alias("last")
-    sessions = events.withWatermark("ts", delay).groupBy("job_id", F.session_window("ts", gap)).agg(last)
-    expired = sessions.filter(F.col("last.stage").isin(*TERMINAL_STAGES)).select(
-        "job_id", F.unix_micros(F.window_time("session_window")).alias("ended"), "last.stage", "last.at")
-    return first_of_each(expired, "job_id", "ended", remember_hours, groups).select(
-        "job_id", "stage", F.timestamp_micros("at").alias("last_event"))
+    last = last_of_sessions(
+        events, "job_id", delay, _hours(hours) * 1000, list(TERMINAL_STAGES), order or ["stage"], remember_hours, groups)
+    return last.select("job_id", "stage", F.timestamp_micros("at").alias("last_event"))
 
 
 def backlog(events: DataFrame, capacity: int = DEFAULT_CAPACITY) -> DataFrame:

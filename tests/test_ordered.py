@@ -1,10 +1,13 @@
 """Streams in event-time order: late rows, one result per key, and state that stays small."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
+from cuesheet.catalog.streaming import _arriving
 from cuesheet.operators.cleaning import deduplicate_words
+from cuesheet.plans.session import shared_folder
 from cuesheet.streaming import jobs as sj, words as sw
 from cuesheet.streaming.sinks import drain
 
@@ -144,3 +147,42 @@ def test_tracks_share_their_states(spark, tmp_path):
     expected = deduplicate_words(spark.createDataFrame(rows, WORDS))
     found = [sorted(map(tuple, df.select(*expected.columns).collect()), key=str) for df in (kept, expected)]
     assert found[0] == found[1]
+
+
+def test_sessions_equal_the_plain_rule(spark, tmp_path):
+    """Events out of order, ties, null jobs, stages and ties, several ends of a job; no store of sessions of Spark's own."""
+    dice = random.Random(5)
+    rows = [(dice.choice(["a", "b", "c", None]), at(dice.randrange(1500)), dice.choice(["complete", "error", "transcribing", None]), dice.choice([None, 1, 2, 3]))
+            for _ in range(120)]
+    # of events at one time the tie decides, so it is a different one for each
+    rows = [*{(job, ts, no): (job, ts, stage, no) for job, ts, stage, no in rows}.values()]
+    order = sorted(rows, key=lambda r: r[1] + (at(dice.random() * 20) - at(0)))
+    batches = [order[:40], order[40:50], order[50:], [END]]
+    built = sj.retention_expiries(arriving(spark, str(tmp_path / "s"), EVENTS, batches), 24, "24 hours", ["no"], 200, groups=2)
+    assert "session_window" not in built._jdf.queryExecution().analyzed().toString().lower()
+    found = drain(built, "append", "t-sessions").filter("job_id is null or job_id <> '~'").collect()
+    expected, day = [], at(24) - at(0)
+    for job in ("a", "b", "c", None):
+        mine, until = sorted(((r[1], r[3] or 0, r[2]) for r in rows if r[0] == job), key=lambda r: r[:2]), at(0)
+        for (ts, _, stage), after in zip(mine, [*mine[1:], None]):
+            if (after is None or after[0] > ts + day) and stage in ("complete", "error") and ts + day >= until:
+                expected.append((job, stage, ts))
+                until = ts + day + (at(200) - at(0))
+    assert len(expected) > 8
+    assert sorted(((r.job_id, r.stage, r.last_event) for r in found), key=str) == sorted(expected, key=str)
+
+
+def test_batches_that_arrive_have_many_files(spark):
+    """A batch was one file, which a single task wrote and read; the rows of a batch still come together."""
+    days = F.when(F.col("id") < 40, F.col("id")).when(F.col("id") < 45, 1500 + F.col("id")).otherwise(2700 + F.col("id"))
+    events = spark.range(75).select(
+        F.col("id").alias("job_id"), F.date_add(F.lit("1992-01-01"), days.cast("int")).cast("timestamp").alias("ts"),
+        F.lit("complete").alias("stage"), F.col("id").cast("int").alias("no")).repartition(6)
+    stream = _arriving(spark, events, "t-many", rows_per_file=5)
+    found = drain(stream, "append", "t-many-read").filter("job_id >= 0").collect()
+    batches = {}
+    for r in found:
+        batches.setdefault(r._batch, []).append(r.job_id)
+    assert sorted(map(sorted, batches.values())) == [[*range(40)], [*range(40, 45)], [*range(45, 75)]]
+    root = shared_folder(spark, "t-many").rpartition("/")[0]
+    assert max(len(glob.glob(f"{folder}/part-*")) for folder in glob.glob(f"{root}/t-many-*")) == 3 * 8 + 1
